@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,12 @@ def utf8_bytes(column: str):
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")
 
 
-def schema(**fields: str) -> T.StructType:
-    """A schema in the order given, from type names; columns of operators, which never clash with a table's own."""
-    return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])
+def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """df's schema with a last column `name`, which replaces one of that name."""
+    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+
+
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch for with_field()."""
+    names = [c for c in batch.schema.names if c != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], [*names, name])

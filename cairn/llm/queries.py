@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, token_counts
-from cairn.llm.common import table
+from cairn.llm import bpe, language_id, quality, token_counts, toxicity
+from cairn.llm.common import remainder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -31,8 +31,31 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
+    model = language_id.train(docs.where("not held_out"))
+    return language_id.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= quality.KEPT_FROM).alias("kept"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
+    model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op4_bpe_codec": op4_bpe_codec,
+    "op6_quality": op6_quality,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontamination, language_id, quality, token_counts, toxicity, warc
+from cairn.llm import bpe, decontamination, language_id, quality, substring_dedup, token_counts, toxicity, warc
 from cairn.llm.common import remainder, scratch, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -59,6 +59,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.dedup_spans(docs)
+    return cut.select("doc_id", "text", "n_removed")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -104,6 +110,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_warc_archive": op3_warc_archive,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op10_toxicity": op10_toxicity,

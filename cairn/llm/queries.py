@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontamination, language_id, quality, substring_dedup, token_counts, toxicity, warc
+from cairn.llm import bpe, decontamination, jaccard, language_id, quality, substring_dedup, token_counts, toxicity, warc
 from cairn.llm.common import remainder, scratch, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -98,6 +98,26 @@ FROM dw LEFT JOIN h ON dw.doc_id = h.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id
 """
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + least(len(w), 5) - 1), ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 80 * (nx.c + ny.c - i)),
+ways AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM dw UNION SELECT r.a, ways.y FROM reach r JOIN ways ON r.b = ways.x),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT dw.doc_id, CAST(coalesce(n.c, 0) AS BIGINT) AS n_shingles, comp.c AS component_id
+FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id JOIN comp ON comp.a = dw.doc_id
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
     model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
@@ -113,9 +133,11 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op3_warc_archive": OP3_SQL,
     "op7_decontamination": OP7_SQL,
+    "op8_ngram_jaccard": OP8_SQL,
 }

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontamination, jaccard, language_id, quality, substring_dedup, token_counts, toxicity, warc
-from cairn.llm.common import remainder, scratch, table
+from cairn.llm import bpe, decontamination, jaccard, language_id, quality, substring_dedup, token_counts, toxicity, warc, webp
+from cairn.llm.common import remainder, scratch, table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -118,6 +118,18 @@ FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id JOIN comp ON comp.a = dw.doc_id
 """
 
 
+def op9_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(webp.store(table(spark, sf_dir, "documents")), "media")
+    return webp.read(stored).select(
+        "doc_id", "n_bytes", "payload_bytes",
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
     model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
@@ -134,6 +146,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_media_webp": op9_media_webp,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cairn.llm import bpe, decontamination, jaccard, language_id, quality, substring_dedup, token_counts, toxicity, warc, webp
 from cairn.llm.common import remainder, scratch, table, written
 
@@ -148,6 +149,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_media_webp": op9_media_webp,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_warc_archive": OP3_SQL,

@@ -1,4 +1,278 @@
-"""Queries over the derived content-store views."""
+"""Queries over the derived content store, and DuckDB SQL for those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import os
+import sqlite3
+import tempfile
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions.keys import entry_suffix, human_bytes, object_path, prefixes, suffix_from_name
+from cairn.operators import closure, references, report, sweep
+from cairn.plans.casview import NEW_ROOT, PATH, ROOT, reachable_from, sha1_of, store, two_roots
+from cairn.sources import catalogs, inventory, manifest
+
+
+def extract_content_hashes(spark, sf):
+    return references.content_refs(store(spark, sf).entries)
+
+
+def chunk_hash_join(spark, sf):
+    s = store(spark, sf)
+    return references.chunk_refs(s.entries, s.chunks, PATH)
+
+
+def nested_catalog_edges(spark, sf):
+    return store(spark, sf).edges.where("child_hash <> ''")
+
+
+def _root(spark, name):
+    return spark.range(1).select(sha1_of(name).alias("hex"))
+
+
+def catalog_closure(spark, sf):
+    return closure.closure(store(spark, sf).edges, _root(spark, ROOT))
+
+
+def catalog_closure_recursive(spark, sf):
+    import hashlib
+
+    return closure.closure_sql(spark, store(spark, sf).edges, hashlib.sha1(ROOT.encode()).hexdigest())
+
+
+def reference_multiset(spark, sf):
+    return references.by_suffix(store(spark, sf).references)
+
+
+def reachable_distinct(spark, sf):
+    return store(spark, sf).reachable
+
+
+def reachable_by_suffix(spark, sf):
+    found = store(spark, sf).reachable
+    return references.by_suffix(found.select(suffix_from_name(F.col("full_hash")).alias("suffix")))
+
+
+def object_paths(spark, sf):
+    return store(spark, sf).references.distinct().select(F.concat("hex", "suffix").alias("full_hash"), object_path(F.col("hex"), F.col("suffix")).alias("path"))
+
+
+def suffix_of_names(spark, sf):
+    name = F.substr("full_hash", F.lit(3))
+    return store(spark, sf).objects.select(F.substring("full_hash", 1, 2).alias("prefix"), name.alias("name"), suffix_from_name(name).alias("suffix"))
+
+
+def prefix_histogram(spark, sf):
+    s = store(spark, sf)
+    return report.histogram(sweep.candidates(s.objects, s.reachable).where("suffix = 'X'"), prefixes(spark))
+
+
+def gc_candidates(spark, sf):
+    s = store(spark, sf)
+    return sweep.candidates(s.objects, s.reachable).select("full_hash", "size")
+
+
+def gc_retained(spark, sf):
+    s = store(spark, sf)
+    return sweep.retained(s.objects, s.reachable).select("full_hash", "size")
+
+
+def missing_objects(spark, sf):
+    s = store(spark, sf)
+    return sweep.missing(s.objects, s.reachable)
+
+
+def _delta(spark, sf):
+    """(store, candidates of the old root, catalogs that the new root adds, keys that it adds)."""
+    s = store(spark, sf)
+    edges = two_roots(spark, sf, s)
+    old = closure.closure(edges, _root(spark, ROOT))
+    added = closure.closure(edges, _root(spark, NEW_ROOT), seen=old)
+    return s, sweep.candidates(s.objects, reachable_from(s, old)), added, reachable_from(s, added)
+
+
+def delta_closure(spark, sf):
+    return _delta(spark, sf)[2].select("hex")
+
+
+def delta_protected(spark, sf):
+    _, found, _, delta = _delta(spark, sf)
+    return sweep.protected(found, delta).select("full_hash")
+
+
+def delta_survivors(spark, sf):
+    _, found, _, delta = _delta(spark, sf)
+    return sweep.subtract(found, delta).select("full_hash")
+
+
+def deleted_by_suffix(spark, sf):
+    s = store(spark, sf)
+    return report.by_suffix(sweep.candidates(s.objects, s.reachable), s.objects.count())
+
+
+def gc_summary(spark, sf):
+    s, found, _, delta = _delta(spark, sf)
+    return report.sweep_totals(s.objects, sweep.subtract(found, delta), sweep.protected(found, delta))
+
+
+def human_sizes(spark, sf):
+    totals = store(spark, sf).objects.groupBy("suffix").agg(F.sum("size").cast("long").alias("bytes"))
+    return totals.select("suffix", "bytes", human_bytes(F.col("bytes")).alias("text"))
+
+
+def _manifest_lines(spark, sf):
+    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    letter = F.substring(F.lit("CBRHXMSGN"), 1, 9)
+    value = F.when(F.col("n_nationkey") == 20, F.lit("--")).otherwise(F.concat(F.substr(letter, (F.col("n_nationkey") % 9 + 1).cast("int"), F.lit(1)), F.sha1(F.col("n_name").cast("binary"))))
+    return nation.select(F.col("n_nationkey").alias("line"), value.alias("value"))
+
+
+def manifest_fields(spark, sf):
+    return manifest.fields(_manifest_lines(spark, sf))
+
+
+def manifest_refs(spark, sf):
+    return manifest.references(manifest_fields(spark, sf))
+
+
+def content_dedup(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.groupBy(F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("hex")).agg(F.count("*").alias("copies"))
+
+
+def flag_suffixes(spark, sf):
+    return store(spark, sf).entries.groupBy("flags", entry_suffix(F.col("flags")).alias("suffix")).agg(F.count("*").alias("n"))
+
+
+def chunked_external_sort(spark, sf):
+    return sweep.sorted_keys(store(spark, sf).references.select(F.concat("hex", "suffix").alias("full_hash")))
+
+
+def _tree(folder: str) -> str:
+    """A small store on disk: a root with two nested catalogs, one compressed; returns the root's hash."""
+
+    def catalog(name: str, entries: list, nested: list[str], packed: bool) -> str:
+        digest = name * 40
+        path = f"{folder}/data/{digest[:2]}"
+        os.makedirs(path, exist_ok=True)
+        db = sqlite3.connect(":memory:")
+        db.executescript(
+            "CREATE TABLE properties(key TEXT, value TEXT); INSERT INTO properties VALUES('schema', '2.5');"
+            "CREATE TABLE catalog(md5path_1 INTEGER, md5path_2 INTEGER, hash BLOB, flags INTEGER);"
+            "CREATE TABLE chunks(md5path_1 INTEGER, md5path_2 INTEGER, hash BLOB); CREATE TABLE nested_catalogs(path TEXT, sha1 TEXT, size INTEGER);"
+        )
+        db.executemany("INSERT INTO catalog VALUES(?, 0, ?, ?)", entries)
+        db.executemany("INSERT INTO nested_catalogs VALUES('', ?, 0)", [(x,) for x in nested])
+        content = db.serialize()
+        with open(f"{path}/{digest[2:]}C", "wb") as file:
+            file.write(zlib.compress(content) if packed else content)
+        return digest
+
+    leaf = catalog("c", [(1, b"\x01" * 20, 4), (2, b"\x02" * 20, 132)], [], True)
+    mid = catalog("b", [(1, b"\x03" * 20, 1)], [leaf], False)
+    return catalog("a", [(1, b"\x04" * 20, 4)], [mid, leaf], True)
+
+
+def catalog_parse_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of a tree of catalog files, which is made for the purpose in a local folder (one machine only)."""
+    folder = tempfile.mkdtemp(prefix="cairn-tree-")
+    root = _tree(folder)
+    walk = closure.walk_files(spark, f"{folder}/data", root)
+    return references.reference_multiset(walk.catalogs, catalogs.entries(walk.rows), catalogs.chunks(walk.rows)).select("hex", "suffix")
+
+
+def inventory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of the same tree."""
+    folder = tempfile.mkdtemp(prefix="cairn-tree-")
+    _tree(folder)
+    return inventory.objects(closure.table_of(inventory.list_store(spark, f"{folder}/data", sizes=True), "listing")).select("prefix", "full_hash", "suffix", "size")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        extract_content_hashes, chunk_hash_join, nested_catalog_edges, catalog_closure, catalog_closure_recursive, reference_multiset, reachable_distinct, reachable_by_suffix,
+        object_paths, suffix_of_names, prefix_histogram, gc_candidates, gc_retained, missing_objects, delta_closure, delta_protected, delta_survivors, deleted_by_suffix,
+        gc_summary, human_sizes, manifest_fields, manifest_refs, content_dedup, flag_suffixes, chunked_external_sort, catalog_parse_sqlite, inventory_listing,
+    )
+}
+
+_K = lambda name, column: f"sha1('{name}:' || CAST({column} AS VARCHAR))"
+_VIEWS = f"""
+WITH RECURSIVE edges AS (
+  SELECT sha1('root') AS parent_hash, {_K("region", "r_regionkey")} AS child_hash FROM region
+  UNION ALL SELECT {_K("region", "n_regionkey")}, {_K("nation", "n_nationkey")} FROM nation
+  UNION ALL SELECT {_K("nation", "c_nationkey")}, {_K("customer", "c_custkey")} FROM customer),
+entries AS (
+  SELECT {_K("customer", "o_custkey")} AS cat, o_orderkey AS p, {_K("order", "o_orderkey")} AS h,
+    CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'O' THEN 68 ELSE 132 END AS flags FROM orders
+  UNION ALL SELECT {_K("nation", "s_nationkey")}, -1 - s_suppkey, CASE WHEN s_acctbal >= 0 THEN {_K("supplier", "s_suppkey")} END, 1 FROM supplier),
+chunks AS (SELECT l_orderkey AS p, sha1('chunk:' || CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR)) AS h FROM lineitem),
+content AS (SELECT cat, h, CASE WHEN (flags & 1) <> 0 AND (flags & 4) = 0 THEN 'L' ELSE '' END AS suffix FROM entries WHERE h IS NOT NULL AND (flags & 128) = 0),
+pieces AS (SELECT e.cat, c.h, 'P' AS suffix FROM chunks c JOIN entries e ON c.p = e.p WHERE (e.flags & 128) = 0),
+refs AS (
+  SELECT sha1('root') AS h, 'C' AS suffix UNION ALL SELECT child_hash, 'C' FROM edges
+  UNION ALL SELECT h, suffix FROM content UNION ALL SELECT h, suffix FROM pieces),
+reach AS (SELECT DISTINCT h || suffix AS full_hash FROM refs),
+inv AS (SELECT DISTINCT full_hash FROM (
+  SELECT full_hash FROM reach WHERE substr(full_hash, 40, 1) <> '0'
+  UNION ALL SELECT c.h || 'P' FROM chunks c JOIN entries e ON c.p = e.p WHERE (e.flags & 128) <> 0
+  UNION ALL SELECT {_K("part", "p_partkey")} || CASE p_size % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'H' WHEN 2 THEN 'X' ELSE '' END FROM part)),
+objects AS (SELECT full_hash, CASE WHEN ascii(right(full_hash, 1)) BETWEEN 65 AND 90 THEN right(full_hash, 1) ELSE '' END AS suffix,
+  CAST(length(full_hash) * 7 AS BIGINT) AS size FROM inv),
+cand AS (SELECT * FROM objects WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.full_hash = objects.full_hash)),
+edges2 AS (
+  SELECT sha1('root') AS parent_hash, {_K("region", "r_regionkey")} AS child_hash FROM region WHERE r_regionkey < 4
+  UNION ALL SELECT sha1('root2'), {_K("region", "r_regionkey")} FROM region
+  UNION ALL SELECT parent_hash, child_hash FROM edges WHERE parent_hash <> sha1('root')),
+walk AS (SELECT sha1('root') AS hex, 0 AS depth UNION ALL SELECT e.child_hash, w.depth + 1 FROM walk w JOIN edges e ON e.parent_hash = w.hex),
+old_c AS (SELECT sha1('root') AS hex UNION SELECT e.child_hash FROM old_c o JOIN edges2 e ON e.parent_hash = o.hex),
+new_c AS (SELECT sha1('root2') AS hex UNION SELECT e.child_hash FROM new_c o JOIN edges2 e ON e.parent_hash = o.hex),
+delta_c AS (SELECT hex FROM new_c EXCEPT SELECT hex FROM old_c),
+r_old AS (SELECT hex || 'C' AS full_hash FROM old_c UNION SELECT h || suffix FROM content WHERE cat IN (SELECT hex FROM old_c)
+  UNION SELECT h || suffix FROM pieces WHERE cat IN (SELECT hex FROM old_c)),
+r_delta AS (SELECT hex || 'C' AS full_hash FROM delta_c UNION SELECT h || suffix FROM content WHERE cat IN (SELECT hex FROM delta_c)
+  UNION SELECT h || suffix FROM pieces WHERE cat IN (SELECT hex FROM delta_c)),
+cand_old AS (SELECT * FROM objects WHERE NOT EXISTS (SELECT 1 FROM r_old r WHERE r.full_hash = objects.full_hash)),
+guarded AS (SELECT * FROM cand_old WHERE EXISTS (SELECT 1 FROM r_delta r WHERE r.full_hash = cand_old.full_hash)),
+doomed AS (SELECT * FROM cand_old WHERE NOT EXISTS (SELECT 1 FROM r_delta r WHERE r.full_hash = cand_old.full_hash)),
+lines AS (SELECT n_nationkey AS line, substr('CBRHXMSGN', n_nationkey % 9 + 1, 1) AS key, sha1(n_name) AS value FROM nation WHERE n_nationkey < 20),
+fields AS (SELECT key, arg_max(value, line) AS value FROM lines GROUP BY key),
+hexes AS (SELECT lower(lpad(printf('%x', i), 2, '0')) AS prefix FROM range(256) t(i))
+"""
+_SIZE = "CASE " + " ".join(f"WHEN {{0}} >= {1024**p} THEN printf('%.1f', round_even({{0}} / {1024**p}.0, 1)) || ' {u}B'" for p, u in reversed(list(enumerate("KMGTPE", 1)))) + " ELSE CAST({0} AS VARCHAR) || ' B' END"
+_LABELS = "CASE suffix " + " ".join(f"WHEN '{s}' THEN '{label}'" for s, label in (("", "regular"), ("C", "catalog"), ("P", "partial chunk"), ("L", "micro-catalog"), ("H", "history"), ("X", "certificate"), ("M", "metainfo"))) + " END"
+
+ORACLES = {
+    name: f"{_VIEWS} {sql}"
+    for name, sql in {
+        "extract_content_hashes": "SELECT cat AS catalog_hash, h AS hex, suffix FROM content",
+        "chunk_hash_join": "SELECT cat AS catalog_hash, h AS hex, suffix FROM pieces",
+        "nested_catalog_edges": "SELECT parent_hash, child_hash FROM edges",
+        "catalog_closure": "SELECT hex, min(depth) AS depth FROM walk GROUP BY hex",
+        "catalog_closure_recursive": "SELECT hex, depth FROM walk",
+        "reference_multiset": "SELECT suffix, count(*) AS n FROM refs GROUP BY suffix",
+        "reachable_distinct": "SELECT full_hash FROM reach",
+        "reachable_by_suffix": "SELECT CASE WHEN ascii(right(full_hash, 1)) BETWEEN 65 AND 90 THEN right(full_hash, 1) ELSE '' END AS suffix, count(*) AS n FROM reach GROUP BY 1",
+        "object_paths": "SELECT DISTINCT h || suffix AS full_hash, substr(h, 1, 2) || '/' || substr(h, 3) || suffix AS path FROM refs",
+        "suffix_of_names": "SELECT substr(full_hash, 1, 2) AS prefix, substr(full_hash, 3) AS name, suffix FROM objects",
+        "prefix_histogram": "SELECT hexes.prefix, count(c.full_hash) AS n FROM hexes LEFT JOIN (SELECT * FROM cand WHERE suffix = 'X') c ON substr(c.full_hash, 1, 2) = hexes.prefix GROUP BY hexes.prefix",
+        "gc_candidates": "SELECT full_hash, size FROM cand",
+        "gc_retained": "SELECT full_hash, size FROM objects WHERE EXISTS (SELECT 1 FROM reach r WHERE r.full_hash = objects.full_hash)",
+        "missing_objects": "SELECT full_hash FROM reach WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.full_hash = reach.full_hash)",
+        "delta_closure": "SELECT hex FROM delta_c",
+        "delta_protected": "SELECT full_hash FROM guarded",
+        "delta_survivors": "SELECT full_hash FROM doomed",
+        "deleted_by_suffix": f"SELECT suffix, {_LABELS} AS label, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM objects), 6) AS percent FROM cand GROUP BY suffix",
+        "gc_summary": f"SELECT checked, checked - candidates AS retained, candidates, protected, candidate_bytes, {_SIZE.format('candidate_bytes')} AS candidate_size FROM (SELECT (SELECT count(*) FROM objects) AS checked, (SELECT count(*) FROM doomed) AS candidates, (SELECT count(*) FROM guarded) AS protected, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM doomed) AS candidate_bytes)",
+        "human_sizes": f"SELECT suffix, bytes, {_SIZE.format('bytes')} AS text FROM (SELECT suffix, CAST(sum(size) AS BIGINT) AS bytes FROM objects GROUP BY suffix)",
+        "manifest_fields": "SELECT key, value FROM fields",
+        "manifest_refs": "SELECT value AS hex, key AS suffix FROM fields WHERE key IN ('C', 'H', 'X', 'M')",
+        "content_dedup": "SELECT sha1(coalesce(text, '')) AS hex, count(*) AS copies FROM documents GROUP BY 1",
+        "flag_suffixes": "SELECT flags, CASE WHEN (flags & 1) <> 0 AND (flags & 4) = 0 THEN 'L' ELSE '' END AS suffix, count(*) AS n FROM entries GROUP BY 1, 2",
+        "chunked_external_sort": "SELECT full_hash FROM reach",
+    }.items()
+}

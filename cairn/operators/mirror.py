@@ -67,7 +67,7 @@ def mirror(spark: SparkSession, base_url: str, target: str, tasks: int = 8) -> D
     text = get(f"{base_url}/.manifest")
     with open(f"{target}/.manifest", "wb") as file:
         file.write(text)
-    lines = spark.createDataFrame(list(enumerate(text.decode("utf-8", "replace").replace("\r\n", "\n").split("\n"))), "line int, value string")
+    lines = manifest.lines_of(spark, text)
     fields = manifest.fields(lines)
     level = spark.createDataFrame([(manifest.root_of(fields), "C")], "hex string, suffix string")
     visited, outcome, rows = level, spark.createDataFrame([], FETCHED), spark.createDataFrame([], catalogs.ROWS)

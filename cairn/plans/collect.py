@@ -48,7 +48,8 @@ def _mark(spark: SparkSession, settings: Settings, seen: DataFrame | None) -> tu
     """(keys reachable, catalogs visited) from the manifest as it is now, with its other references."""
     extra = None
     if os.path.exists(settings.manifest_path):
-        fields = manifest.fields(manifest.read_lines(spark, f"file://{os.path.abspath(settings.manifest_path)}"))
+        with open(settings.manifest_path, "rb") as file:
+            fields = manifest.fields(manifest.lines_of(spark, file.read()))
         extra, root = manifest.references(fields), settings.root_hash or manifest.root_of(fields)
     elif settings.root_hash:
         root = settings.root_hash

@@ -16,6 +16,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split("value", "\n", -1)).alias("line", "value")).select("line", F.regexp_replace("value", "\r$", "").alias("value"))
 
 
+def lines_of(spark: SparkSession, content: bytes) -> DataFrame:
+    """The same of a manifest's bytes. Spark's readers pass over names that begin with a dot, as manifests' do."""
+    rows = [(i, x.removesuffix("\r")) for i, x in enumerate(content.decode("utf-8", "replace").split("\n"))]
+    return spark.createDataFrame(rows, "line int, value string")
+
+
 def fields(lines: DataFrame) -> DataFrame:
     """key and value; the last line of a key wins, lines under 2 characters and those from `--` on don't count.
 

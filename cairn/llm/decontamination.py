@@ -3,8 +3,8 @@
 The index is a written table of postings (doc, term, position) of the training documents for the terms that the
 benchmark uses; a sentinel term whose position is the document's word count closes each document. An item's word at
 offset o that stands at position p of a document puts the item on the diagonal p - o. For each window of an item the
-rarest terms are looked up: only diagonals in the offset-adjusted lists of the two rarest can hold the window. Those
-few diagonals are then compared word by word, which gives the exact windows, wherever they stand.
+rarest terms are looked up: only diagonals in the offset-adjusted lists of all its RAREST rarest terms can hold the
+window. Those few diagonals are then compared word by word, which gives the exact windows, wherever they stand.
 
 The terms and anchors follow the benchmark, not the corpus; they are broadcast while they number at most
 BROADCAST_ROWS, and joined by shuffling beyond that. Lists are pre-aggregated by (doc, item, diagonal), so a passage
@@ -27,6 +27,8 @@ from cairn.llm.common import written
 #: Characters that end words: ASCII but for digits and, after lower-casing A-Z, letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Terms of a window whose lists are intersected.
+RAREST = 3
 #: Benchmark terms or anchors up to this many rows (of under 100 bytes) are broadcast.
 BROADCAST_ROWS = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,7 +67,10 @@ def word_counts(index: DataFrame) -> DataFrame:
 
 
 def anchors(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item, offset, term and place (1: rarest of some window, 2: second rarest); windows with a term that no document has are left out."""
+    """item, start, offset and term: the RAREST rarest terms of the window from `start`, which are all when it is shorter.
+
+    Windows with a term that no document has are left out.
+    """
     placed = items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
     common = index.where("term <> ''").groupBy("term").agg(F.count("*").alias("frequency"))
     placed = placed.join(_small(common, items.select(F.sum(F.size("words"))).first()[0] or 0), "term", "left")
@@ -73,31 +78,42 @@ def anchors(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
     inside = placed.withColumn("start", F.explode(starts))
     of = W.partitionBy("item", "start")
     ranked = inside.withColumn("known", F.count("frequency").over(of)).withColumn("size", F.count("*").over(of)).withColumn("place", F.row_number().over(of.orderBy("frequency", "offset")))
-    chosen = ranked.where("known = size and place <= 2")
-    lone = chosen.where("size = 1").withColumn("place", F.lit(2))
-    return chosen.unionByName(lone).select("item", "offset", "term", "place").distinct()
+    return ranked.where(f"known = size and place <= {RAREST}").select("item", "start", "offset", "term")
 
 
 def diagonals(index: DataFrame, chosen: DataFrame, n_anchors: int) -> DataFrame:
-    """(doc, item, diagonal) that stand in the offset-adjusted lists of a window's rarest and second rarest term."""
-    lists = index.join(_small(chosen, n_anchors), "term").select("doc", "item", (F.col("position") - F.col("offset")).alias("diagonal"), "place")
-    met = lists.groupBy("doc", "item", "diagonal").agg(F.max(F.col("place") == 1).alias("one"), F.max(F.col("place") == 2).alias("two"))
-    return met.where("one and two").select("doc", "item", "diagonal")
+    """(doc, item, diagonal) that stand in the offset-adjusted lists of all anchors of a window.
+
+    The anchors met on a diagonal are bits, one for an offset modulo 64; each window asks for its own bits.
+    """
+    bit = F.expr("shiftleft(1L, offset % 64)")
+    asked = chosen.groupBy("item", "start").agg(F.bit_or(bit).alias("mask")).groupBy("item").agg(F.collect_set("mask").alias("masks"))
+    terms = chosen.select("item", "offset", "term").distinct()
+    lists = index.join(_small(terms, n_anchors), "term").select("doc", "item", (F.col("position") - F.col("offset")).alias("diagonal"), bit.alias("bit"))
+    met = lists.groupBy("doc", "item", "diagonal").agg(F.bit_or("bit").alias("bits"))
+    whole = met.join(_small(asked, n_anchors), "item").where(F.exists("masks", lambda mask: F.col("bits").bitwiseAND(mask) == mask))
+    return whole.select("doc", "item", "diagonal")
 
 
 def phrase_matches(docs: DataFrame, found: DataFrame, items: DataFrame, window: int = WINDOW, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc, item_id and spans (array of begin, end in words): the exact occurrences of windows on the diagonals found."""
     lines = found.join(items, "item").groupBy("doc").agg(F.collect_list(F.struct("item_id", "diagonal", F.col("words").alias("asked"))).alias("lines"))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(lines, F.col("_key").eqNullSafe(F.col("doc"))).select("doc", words("_text").alias("own"), "lines")
-    line = rows.select("doc", "own", F.explode("lines").alias("line")).select(
-        "doc", "line.item_id", "line.diagonal",
-        F.transform("line.asked", lambda asked, o: F.coalesce(F.get("own", F.col("line.diagonal") + o) == asked, F.lit(False))).alias("same"),
-    )
-    size = F.least(F.size("same"), F.lit(window))
-    whole = F.filter(F.sequence(F.lit(0), F.size("same") - size), lambda s: F.forall(F.slice("same", s + 1, size), lambda x: x))
-    return line.withColumn("at", whole).where(F.size("at") > 0).select(
-        "doc", "item_id", F.transform("at", lambda s: F.struct((F.col("diagonal") + s).alias("begin"), (F.col("diagonal") + s + size).alias("end"))).alias("spans")
-    )
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(lines, F.col("_key").eqNullSafe(F.col("doc")))
+    # The size beside the words keeps the optimizer from splitting the text anew for every word compared.
+    rows = rows.select("doc", words("_text").alias("own"), "lines").select("doc", "own", F.size("own").alias("n"), "lines")
+
+    def spans(line: Column) -> Column:
+        asked, diagonal = line["asked"], line["diagonal"]
+        same = F.transform(asked, lambda word, o: F.coalesce(F.get("own", diagonal + o) == word, F.lit(False)))
+        # How far the words up to each agree; a window ends where that reaches its size.
+        run = lambda acc, ok: F.concat(acc, F.array(F.when(ok, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + 1).otherwise(0)))
+        runs = F.aggregate(same, F.array().cast("array<int>"), run)
+        size = F.least(F.size(asked), F.lit(window))
+        ends = F.filter(F.transform(runs, lambda n, o: F.when(n >= size, o + 1)), lambda end: end.isNotNull())
+        return F.struct(line["item_id"].alias("item_id"), F.transform(ends, lambda end: F.struct((diagonal + end - size).alias("begin"), (diagonal + end).alias("end"))).alias("spans"))
+
+    found = rows.where("n > 0").select("doc", F.explode(F.filter(F.transform("lines", spans), lambda m: F.size(m["spans"]) > 0)).alias("m"))
+    return found.select("doc", "m.item_id", "m.spans")
 
 
 def covered(spans: Column) -> Column:

@@ -17,10 +17,10 @@ def by_suffix(found: DataFrame, checked: int) -> DataFrame:
 
 def sweep_totals(objects: DataFrame, found: DataFrame, guarded: DataFrame) -> DataFrame:
     """One row: checked, retained, candidates, protected and their bytes as text; checked = retained + candidates."""
-    checked = objects.agg(F.count("*").alias("checked"))
-    doomed = found.agg(F.count("*").alias("candidates"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("candidate_bytes"))
-    kept = guarded.agg(F.count("*").alias("protected"))
-    row = checked.crossJoin(doomed).crossJoin(kept)  # of three single rows
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    marked = lambda df, *values: df.select(*[v.alias(n) for v, n in zip(values, ("checked", "candidates", "candidate_bytes", "protected"), strict=True)])
+    rows = marked(objects, one, none, none, none).unionByName(marked(found, none, one, F.coalesce("size", F.lit(0)).cast("long"), none)).unionByName(marked(guarded, none, none, none, one))
+    row = rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in rows.columns])
     return row.select("checked", (F.col("checked") - F.col("candidates")).alias("retained"), "candidates", "protected", "candidate_bytes", human_bytes(F.col("candidate_bytes")).alias("candidate_size"))
 
 

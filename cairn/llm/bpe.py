@@ -14,6 +14,7 @@ kept, and a column with the output's name is replaced.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,9 +29,10 @@ from cairn.llm.common import in_batches, with_column, with_field
 from cairn.llm.token_counts import BYTE_LEVEL_PATTERN, byte_alphabet, is_plain_byte_level
 
 #: Pieces of a memo's newer half; at most twice as many are held.
-MEMO = 200_000
-#: Characters on which every Unicode version agrees about letters and digits; other texts are split by the library.
-_SETTLED = regex.compile(r"[^\x00-ԯ -⁯]")
+MEMO = 250_000
+#: Code points on which every Unicode version agrees about letters, digits and white space, as ends of ranges; texts
+#: with others are split by the library.
+SETTLED = ((0, 0x530), (0x2000, 0x2080))
 _NONE = 1 << 62
 
 
@@ -39,45 +41,46 @@ def merge(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]
     n = len(ids)
     if n < 2:
         return ids
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
+    size = 1 << (n - 2).bit_length()
+    rank_of = ranks.get
     tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        rank = ranks.get(ids[i] << 20 | ids[i + 1])
+    node, a = size, ids[0]
+    for b in ids[1:]:
+        rank = rank_of(a << 20 | b)
         if rank is not None:
-            tree[size + i] = rank * n + i
+            tree[node] = rank * n + node - size
+        node, a = node + 1, b
     for node in range(size - 1, 0, -1):
         left, right = tree[2 * node], tree[2 * node + 1]
         tree[node] = left if left < right else right
     after, before = list(range(1, n + 1)), list(range(-1, n))
-
-    def put(leaf: int, value: int) -> None:
-        node = size + leaf
-        tree[node] = value
-        while node > 1:
-            other = tree[node ^ 1]
-            node >>= 1
-            least = value if value < other else other
-            if tree[node] == least:
-                return
-            tree[node] = value = least
-
     while (least := tree[1]) != _NONE:
         rank, at = divmod(least, n)
+        ids[at] = new = merged[rank]
         gone = after[at]
-        nxt = after[gone]
-        ids[at] = merged[rank]
-        after[at] = nxt
-        if gone < n - 1:
-            put(gone, _NONE)
-        if nxt < n:
-            before[nxt] = at
-            rank = ranks.get(ids[at] << 20 | ids[nxt])
-            put(at, _NONE if rank is None else rank * n + at)
+        after[at] = following = after[gone]
+        changes = [(size + gone, _NONE)] if gone < n - 1 else []
+        if following < n:
+            before[following] = at
+            rank = rank_of(new << 20 | ids[following])
+            changes.append((size + at, _NONE if rank is None else rank * n + at))
         else:
-            put(at, _NONE)
+            changes.append((size + at, _NONE))
         if (prev := before[at]) >= 0:
-            rank = ranks.get(ids[prev] << 20 | ids[at])
-            put(prev, _NONE if rank is None else rank * n + prev)
+            rank = rank_of(ids[prev] << 20 | new)
+            changes.append((size + prev, _NONE if rank is None else rank * n + prev))
+        for node, value in changes:
+            if tree[node] == value:
+                continue
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                if other < value:
+                    value = other
+                node >>= 1
+                if tree[node] == value:
+                    break
+                tree[node] = value
     out, at = [], 0
     while at < n:
         out.append(ids[at])
@@ -122,7 +125,7 @@ class ByteBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.to_bytes = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items() if token not in self.added} | {i: token.encode() for token, i in self.added.items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
+        self.unsettled, self.pattern = settled_patterns()
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.memo = Memo(self.piece)
 
@@ -130,7 +133,7 @@ class ByteBpe:
         return array("i", merge([self.of_byte[b] for b in piece.encode()], self.ranks, self.merged)).tobytes()
 
     def pieces(self, text: str) -> list[str]:
-        if text.isascii() or not _SETTLED.search(text):
+        if text.isascii() or not self.unsettled.search(text):
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
@@ -149,6 +152,20 @@ class ByteBpe:
         return b"".join(map(self.to_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _ranges(kind: str) -> str:
+    """The settled characters of a kind, as inside of a character class."""
+    test = regex.compile(kind)
+    return "".join(f"\\u{c:04x}" for a, b in SETTLED for c in range(a, b) if test.match(chr(c)))
+
+
+@lru_cache(maxsize=1)
+def settled_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """A character that isn't settled, and the split pattern for settled texts, spelled out for the faster engine."""
+    letter, digit, space = _ranges(r"\p{L}"), _ranges(r"\p{N}"), _ranges(r"\s")
+    spelled = BYTE_LEVEL_PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{digit}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
+    return re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in SETTLED) + "]"), re.compile(spelled)
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)

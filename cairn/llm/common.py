@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,9 +34,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows, whatever the session says."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def freed(df: DataFrame) -> DataFrame:
+    """df, a written table, after the shuffle files of the jobs before it may go.
+
+    Spark removes a shuffle's files when the driver's garbage collector finds nothing that refers to them, which may
+    take long on a driver that has little to do. Between stages of much data it is asked to look.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
+def within(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df to be broadcast if its counted rows are at most `most`, else to be joined by shuffling."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def in_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Bound the Arrow batches of the jobs that follow by rows, whatever the session says."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import in_batches, written
+from cairn.llm.common import freed, in_batches, within, written
 from cairn.llm.components import connected
 from cairn.llm.textkernel import SPACE, chained, mix, slices, words
 
@@ -39,9 +39,13 @@ SHINGLE = 5
 #: Sets of a group, and queries of a group that one task compares.
 GROUP, QUERIES = 128, 512
 #: Tokens of a bucket in the filter, about.
-BUCKET = 2_000_000
+BUCKET = 500_000
 #: Columns of a block of the incidence matrix.
 COLUMNS = 8192
+#: Rows of an Arrow batch of groups, each of which holds its members' tokens.
+GROUP_ROWS = 4
+#: Keys (8 bytes each) that a join broadcasts at most.
+BROADCAST_KEYS = 2_000_000
 _U = np.uint64
 
 
@@ -52,7 +56,7 @@ def most_missing(n):
 
 def sure(n):
     """Common tokens that the filter's prefix of a linked set of n tokens holds."""
-    return n // 20 + 1
+    return n // 12 + 1
 
 
 def needed(n):
@@ -155,7 +159,7 @@ def set_table(docs: DataFrame, keys: DataFrame, *, text: str, key: str) -> DataF
             keys = [pa.array(mix(low[:, 2 * r] + mix(low[:, 2 * r + 1])).view(np.int64)) for r in range(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "key1", "key2", "tokens"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(keys, "id")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(within(keys, keys.count(), BROADCAST_KEYS), "id")
     return written(rows.mapInArrow(run, "id long, n long, key1 long, key2 long, tokens binary"), "sets")
 
 
@@ -199,8 +203,8 @@ def _roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def group(sets: DataFrame, by: str) -> DataFrame:
-    """Groups of at most GROUP sets that are near in the order of `by`: group, ids, ns and tokens as lists, and each set's root within the group."""
+def group(sets: DataFrame, by: str, tokens: bool = True) -> DataFrame:
+    """Groups of at most GROUP sets that are near in the order of `by`: group, ids, ns, roots within the group and, if asked for, tokens, as lists."""
 
     def pack(rows: list[dict]) -> dict:
         ids, ns, tokens = np.array([r["id"] for r in rows]), np.array([r["n"] for r in rows]), _tokens([r["tokens"] for r in rows])
@@ -223,15 +227,17 @@ def group(sets: DataFrame, by: str) -> DataFrame:
 
     parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = sets.repartitionByRange(parts, by, "id").sortWithinPartitions(by, "id").select("id", "n", "tokens")
-    return written(ordered.mapInArrow(run, "group long, ids array<long>, ns array<long>, roots array<long>, tokens array<binary>"), "groups")
+    out = ordered.mapInArrow(run, "group long, ids array<long>, ns array<long>, roots array<long>, tokens array<binary>")
+    return freed(written(out if tokens else out.drop("tokens"), "groups"))
 
 
 def members(groups: DataFrame) -> DataFrame:
     return groups.select("group", F.explode(F.arrays_zip("ids", "roots")).alias("m")).select("group", F.col("m.ids").alias("id"), F.col("m.roots").alias("root"))
 
 
-def query_links(groups: DataFrame, known: DataFrame) -> DataFrame:
+def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) between members of different groups that aren't in one component of `known` (id, component)."""
+    in_batches(groups.sparkSession, GROUP_ROWS)
     of = members(groups).select("group", "id").join(known, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component"))
     sizes = of.groupBy("component").agg(F.count("*").alias("size"))
     of = written(of.join(sizes, "component"), "placed")
@@ -250,18 +256,19 @@ def query_links(groups: DataFrame, known: DataFrame) -> DataFrame:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens = np.array([x["token"] for x in row["shared"]], np.int64).view(_U)
-                groups_of = np.array([x["groups"] for x in row["shared"]], np.int64)
+            for i in range(len(batch)):
+                name, ids, packed, found = (batch.column(c)[i] for c in ("group", "ids", "tokens", "shared"))
+                tokens = found.values.field("token").to_numpy().view(_U)
+                groups_of = found.values.field("groups").to_numpy()
                 order = np.argsort(tokens)
                 tokens, groups_of = tokens[order], groups_of[order]
-                for one, own in zip(row["ids"], _tokens(row["tokens"]), strict=True):
+                for one, own in zip(ids.as_py(), _tokens(packed.as_py()), strict=True):
                     at = np.searchsorted(tokens, own)
                     met = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == own)
                     spread = np.where(met, groups_of[np.minimum(at, len(tokens) - 1)], 1)
                     first = np.argsort(spread, kind="stable")[: most_missing(len(own)) + 1]
                     asked = own[first[spread[first] > 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), one)), pa.array(np.full(len(asked), row["group"])), pa.array(asked.view(np.int64))], ["id", "own", "token"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), one)), pa.array(np.full(len(asked), name.as_py())), pa.array(asked.view(np.int64))], ["id", "own", "token"])
 
     probes = groups.join(listed, "group").select("group", "ids", "tokens", "shared").mapInArrow(probe, "id long, own long, token long")
     rank = lambda size, component: F.struct(F.col(size).alias("size"), F.col(component).alias("component"))
@@ -270,11 +277,13 @@ def query_links(groups: DataFrame, known: DataFrame) -> DataFrame:
     has = shared.select("group", "token").join(tops, "group")
     pairs = asks.join(has, "token").where("group <> own and top > mine").select("id", "group").distinct()
     pairs = written(pairs, "pairs")
+    in_batches(groups.sparkSession)
     load = pairs.groupBy("group").agg(F.count("*").alias("asked")).select("group", F.ceil(F.col("asked") / QUERIES).cast("int").alias("parts"))
     load = written(load, "load")
-    one = groups.select(F.explode(F.arrays_zip("ids", "ns", "tokens")).alias("m")).select(F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.tokens").alias("tokens"))
-    asked = pairs.join(load, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(one, "id").select("group", "part", "id", "n", "tokens")
-    opened = groups.join(load, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "part", "ids", "ns", F.col("tokens").alias("packed"))
+    asking = pairs.join(load, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "group", "part")
+    own = written(asking.select("id").distinct(), "asking")
+    asked = asking.join(sets.select("id", "n", "tokens").join(within(own, own.count(), BROADCAST_KEYS), "id", "left_semi"), "id").select("group", "part", "id", "n", "tokens")
+    opened = groups.join(within(load, load.count(), BROADCAST_KEYS), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "part", "ids", "ns", F.col("tokens").alias("packed"))
 
     def compare(queries: pa.Table, held: pa.Table) -> pa.Table:
         out = {"a": [], "b": []}
@@ -294,18 +303,24 @@ def query_links(groups: DataFrame, known: DataFrame) -> DataFrame:
     return asked.groupBy("group", "part").cogroup(opened.groupBy("group", "part")).applyInArrow(compare, "a long, b long")
 
 
+def _representatives(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the keys found, those that are the least of their class: id."""
+    return found.join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).where("key = least").select(F.col("key").alias("id")).distinct()
+
+
 def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id, the smallest key that links reach; one row for each row of docs."""
     in_batches(docs.sparkSession)
     signed = sign(docs, text=text, key=key)
     classes = written(signed.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("least")), "classes")
-    kept = candidates(signed).join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).where("key = least")
-    sets = set_table(docs, kept.select(F.col("key").alias("id")).distinct(), text=text, key=key)
+    kept = written(_representatives(candidates(signed), classes), "kept")
+    sets = set_table(docs, freed(kept), text=text, key=key)
     groups = group(sets, "key1")
     first = members(groups).select(F.col("id").alias("a"), F.col("root").alias("b"))
-    again = group(sets.join(members(groups).where("id = root").select("id").distinct(), "id"), "key2")
+    roots = written(members(groups).where("id = root").select("id").distinct(), "roots")
+    again = group(sets.join(within(roots, roots.count(), BROADCAST_KEYS), "id", "left_semi"), "key2", tokens=False)
     links = written(first.unionByName(members(again).select(F.col("id").alias("a"), F.col("root").alias("b"))).where("a <> b"), "near-links")
-    more = query_links(groups, written(connected(links), "near-components"))
+    more = freed(written(query_links(sets, groups, written(connected(links), "near-components")), "far-links"))
     # A key in several classes joins them, as its rows are one document.
     rows = signed.where("n > 0 and key is not null").join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"))
     several = rows.groupBy("key").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a <> b").select("a", "b")

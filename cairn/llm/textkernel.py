@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a longer text is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _U = np.uint64
 _BASE, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _powers: dict[str, np.ndarray] = {}

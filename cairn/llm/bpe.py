@@ -29,7 +29,7 @@ from cairn.llm.common import in_batches, with_column, with_field
 from cairn.llm.token_counts import BYTE_LEVEL_PATTERN, byte_alphabet, is_plain_byte_level
 
 #: Pieces of a memo's newer half; at most twice as many are held.
-MEMO = 250_000
+MEMO = 60_000
 #: Code points on which every Unicode version agrees about letters, digits and white space, as ends of ranges; texts
 #: with others are split by the library.
 SETTLED = ((0, 0x530), (0x2000, 0x2080))
@@ -123,7 +123,6 @@ class ByteBpe:
         for char, byte in alphabet.items():
             self.of_byte[byte] = vocab[char]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.to_bytes = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items() if token not in self.added} | {i: token.encode() for token, i in self.added.items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.unsettled, self.pattern = settled_patterns()
         self.library = Tokenizer.from_file(path).pre_tokenizer
@@ -147,6 +146,18 @@ class ByteBpe:
             out += [array("i", [self.added[part]]).tobytes()] if part in self.added else map(ids, self.pieces(part))
         return b"".join(out)
 
+
+class Decoder:
+    """Bytes of a tokenizer file's ids; a worker that only decodes holds no ranks and no memo."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if not is_plain_byte_level(spec):
+            raise ValueError(f"{path} isn't a plain byte-level BPE tokenizer")
+        alphabet, added = byte_alphabet(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.to_bytes = {i: bytes(alphabet[c] for c in token) for token, i in spec["model"]["vocab"].items() if token not in added} | {i: token.encode() for token, i in added.items()}
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, added tokens included; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.to_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -171,6 +182,11 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(maxsize=4)
+def load_decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(df: DataFrame, tokenizer: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column `ids`, array<int>: the ids of `text`."""
     in_batches(df.sparkSession)
@@ -192,8 +208,8 @@ def decode(df: DataFrame, tokenizer: str, *, ids: str = "ids", text: str = "deco
     in_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
+        decoder = load_decoder(tokenizer)
         for batch in batches:
-            yield with_column(batch, text, pa.array([bpe.decode(x.as_py() or []) if x.is_valid else "" for x in batch.column(ids)], pa.string()))
+            yield with_column(batch, text, pa.array([decoder.decode(x.as_py() or []) if x.is_valid else "" for x in batch.column(ids)], pa.string()))
 
     return df.mapInArrow(run, with_field(df, text, T.StringType()))

@@ -111,6 +111,15 @@ def chained(values: np.ndarray, length: int) -> np.ndarray:
     return mix(total)
 
 
+def rolled(values: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of `length` values, in order, at one cost for every length; shorter input gives none."""
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(values * _power(len(values), False), dtype=_U)])
+    return mix((sums[length:] - sums[:n]) * _power(len(values), True)[:n])
+
+
 def ngram_counts(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
     """Counts (texts x 2^bits, float32) of the byte n-grams of each order, A-Z as they are, hashed to 2^bits columns."""
     texts, width = len(offsets) - 1, 1 << bits

@@ -67,6 +67,52 @@ def test_substring_dedup_of_odd_tables(spark, docs_of):
     assert substring_dedup.dedup_spans(docs_of([])).count() == 0
 
 
+def stretches(text, n=51):
+    w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_substring_dedup_of_passages_without_whole_sentences(spark, docs_of):
+    """Passages of 51 words or more with 0 to 2 stops, as table rows, on one line, or from the middle of a sentence."""
+    draw = random.Random(5)
+    say = lambda n: ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passages = []
+    for n in (51, 52, 60, 90, 150):
+        for stops in (0, 1, 2):
+            w = say(n)
+            for k in range(stops):
+                w[(k + 1) * n // (stops + 1)] += "."
+            passages.append((" | " if n == 90 else " ").join(w))
+    texts = []
+    for i, p in enumerate(passages * 3):  # three copies, framed inside a sentence
+        texts.append(f"{' '.join(say(i % 7 + 2))} {p} {' '.join(say(9))}. {' '.join(say(7))}.")
+    plain = [" ".join(say(40)) + ". " + " ".join(say(30)) for _ in range(5)]
+    inside = " ".join(say(60)) + " " + passages[0] + " " + " ".join(say(30)) + " " + passages[0].upper() + " end"
+    texts += [*plain, passages[0], inside]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_spans(docs_of(texts)).collect()}
+    n = len(passages)
+    assert [got[i]["text"] for i in range(n)] == texts[:n] and all(got[i]["n_removed"] == 0 for i in range(n))
+    assert [got[3 * n + i]["text"] for i in range(len(plain))] == plain
+    seen = set()
+    for d in sorted(got):
+        here = stretches(got[d]["text"])
+        assert not here & seen
+        seen |= here
+    for d in range(n, 3 * n):  # the frame stays, and at most 24 words of either end of the passage
+        words_of = got[d]["text"].split()
+        assert got[d]["n_removed"] > 0 and texts[d].startswith(" ".join(words_of[: d % 7 + 2])) and texts[d].endswith(" ".join(words_of[-7:]))
+
+
+def test_substring_dedup_within_a_document_by_words(spark, docs_of):
+    draw = random.Random(6)
+    say = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = say(80)
+    (row,) = substring_dedup.dedup_spans(docs_of([f"{say(5)} {passage} {say(5)} {passage} {say(5)}"])).collect()
+    assert row["n_removed"] == 1 and 80 + 15 <= len(row["text"].split()) <= 80 + 15 + 48
+    text, n = substring_dedup._cut_words("Aa bb. Cc dd. (Ee) ff", [1, 4], 2)
+    assert (text, n) == ("Aa  dd.", 3)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

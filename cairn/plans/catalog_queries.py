@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sqlite3
-import tempfile
+import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,6 @@ def catalog_closure(spark, sf):
 
 
 def catalog_closure_recursive(spark, sf):
-    import hashlib
-
     return closure.closure_sql(spark, store(spark, sf).edges, hashlib.sha1(ROOT.encode()).hexdigest())
 
 
@@ -151,44 +151,69 @@ def chunked_external_sort(spark, sf):
     return sweep.sorted_keys(store(spark, sf).references.select(F.concat("hex", "suffix").alias("full_hash")))
 
 
-def _tree(folder: str) -> str:
-    """A small store on disk: a root with two nested catalogs, one compressed; returns the root's hash."""
+_TREE = "catalog_hash string"
+
+
+def _catalog_file(path: str, entries: list, chunks: list, nested: list[str], packed: bool) -> None:
+    """Writes a catalog under a name of its own first, so that a task that runs twice does no harm."""
+    db = sqlite3.connect(":memory:")
+    db.executescript(
+        "CREATE TABLE properties(key TEXT, value TEXT); INSERT INTO properties VALUES('schema', '2.5');"
+        "CREATE TABLE catalog(md5path_1 INTEGER, md5path_2 INTEGER, hash BLOB, flags INTEGER);"
+        "CREATE TABLE chunks(md5path_1 INTEGER, md5path_2 INTEGER, hash BLOB); CREATE TABLE nested_catalogs(path TEXT, sha1 TEXT, size INTEGER);"
+    )
+    db.executemany("INSERT INTO catalog VALUES(?, ?, ?, ?)", entries)
+    db.executemany("INSERT INTO chunks VALUES(?, ?, ?)", chunks)
+    db.executemany("INSERT INTO nested_catalogs VALUES('', ?, 0)", [(x,) for x in nested])
+    content = db.serialize()
+    db.close()
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{os.path.dirname(os.path.dirname(path))}/.{uuid.uuid4().hex}"
+    with open(part, "wb") as file:
+        file.write(zlib.compress(content) if packed else content)
+    os.replace(part, path)
+
+
+def _tree(spark: SparkSession, sf: str) -> str:
+    """The derived store's catalogs as files, written by tasks under spark.checkpoint.dir, a folder mounted on driver and
+    executors; returns the folder. Root, regions, nations and customers are a file each, half of them compressed."""
+    base = closure.folder_of(spark, "tree")
+    if not base.startswith(("file:", "/")):
+        raise ValueError(f"catalog files need a mounted folder, spark.checkpoint.dir is {base}")
+    folder = base.removeprefix("file://").removeprefix("file:") + "/data"
+    s = store(spark, sf)
+    none = lambda kind: F.lit(None).cast(kind)
+    owned = s.chunks.join(s.entries.select("catalog_hash", *PATH), list(PATH))
+    row = lambda df, kind, h, flags, child: df.select("catalog_hash", F.lit(kind).alias("kind"), *PATH, h.alias("hash"), flags.cast("int").alias("flags"), child.alias("child"))
+    bare = lambda df: df.withColumns({c: none("long") for c in PATH})
+    rows = (
+        row(s.entries, "entry", F.col("hash"), F.col("flags"), none("string"))
+        .unionByName(row(owned, "chunk", F.col("hash"), none("int"), none("string")))
+        .unionByName(row(bare(s.edges.withColumnRenamed("parent_hash", "catalog_hash")), "nested", none("binary"), none("int"), F.col("child_hash")))
+        .unionByName(row(bare(s.catalogs.withColumnRenamed("hex", "catalog_hash")), "catalog", none("binary"), none("int"), none("string")))
+    )
 
-    def catalog(name: str, entries: list, nested: list[str], packed: bool) -> str:
-        digest = name * 40
-        path = f"{folder}/data/{digest[:2]}"
-        os.makedirs(path, exist_ok=True)
-        db = sqlite3.connect(":memory:")
-        db.executescript(
-            "CREATE TABLE properties(key TEXT, value TEXT); INSERT INTO properties VALUES('schema', '2.5');"
-            "CREATE TABLE catalog(md5path_1 INTEGER, md5path_2 INTEGER, hash BLOB, flags INTEGER);"
-            "CREATE TABLE chunks(md5path_1 INTEGER, md5path_2 INTEGER, hash BLOB); CREATE TABLE nested_catalogs(path TEXT, sha1 TEXT, size INTEGER);"
-        )
-        db.executemany("INSERT INTO catalog VALUES(?, 0, ?, ?)", entries)
-        db.executemany("INSERT INTO nested_catalogs VALUES('', ?, 0)", [(x,) for x in nested])
-        content = db.serialize()
-        with open(f"{path}/{digest[2:]}C", "wb") as file:
-            file.write(zlib.compress(content) if packed else content)
-        return digest
+    def write(table: pa.Table) -> pa.Table:
+        found = table.to_pylist()
+        digest = found[0]["catalog_hash"]
+        of = lambda kind, *names: [tuple(r[n] for n in names) for r in found if r["kind"] == kind]
+        nested = [x for (x,) in of("nested", "child")]
+        _catalog_file(f"{folder}/{digest[:2]}/{digest[2:]}C", of("entry", *PATH, "hash", "flags"), of("chunk", *PATH, "hash"), nested, int(digest[-1], 16) % 2 == 0)
+        return pa.table({"catalog_hash": [digest]})
 
-    leaf = catalog("c", [(1, b"\x01" * 20, 4), (2, b"\x02" * 20, 132)], [], True)
-    mid = catalog("b", [(1, b"\x03" * 20, 1)], [leaf], False)
-    return catalog("a", [(1, b"\x04" * 20, 4)], [mid, leaf], True)
+    rows.groupBy("catalog_hash").applyInArrow(write, _TREE).count()
+    return folder
 
 
 def catalog_parse_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of a tree of catalog files, which is made for the purpose in a local folder (one machine only)."""
-    folder = tempfile.mkdtemp(prefix="cairn-tree-")
-    root = _tree(folder)
-    walk = closure.walk_files(spark, f"{folder}/data", root)
+    """References of the derived store's catalogs, walked as files from the root."""
+    walk = closure.walk_files(spark, _tree(spark, sf_dir), hashlib.sha1(ROOT.encode()).hexdigest())
     return references.reference_multiset(walk.catalogs, catalogs.entries(walk.rows), catalogs.chunks(walk.rows)).select("hex", "suffix")
 
 
 def inventory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of the same tree."""
-    folder = tempfile.mkdtemp(prefix="cairn-tree-")
-    _tree(folder)
-    return inventory.objects(closure.table_of(inventory.list_store(spark, f"{folder}/data", sizes=True), "listing")).select("prefix", "full_hash", "suffix", "size")
+    return inventory.objects(closure.table_of(inventory.list_store(spark, _tree(spark, sf_dir), sizes=True), "listing")).select("prefix", "full_hash", "suffix", "size")
 
 
 QUERIES = {

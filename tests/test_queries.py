@@ -34,6 +34,15 @@ def test_other_queries_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_catalog_files_hold_the_whole_store(spark):
+    """The tree of files grows with the tables; its references are those of the tables, its objects the catalogs."""
+    rows = lambda name, *columns: sorted(tuple(r) for r in QUERIES[name](spark, SF).select(*columns).collect())
+    walked = [h for h, _ in rows("catalog_closure", "hex", "depth")]
+    want = rows("extract_content_hashes", "hex", "suffix") + rows("chunk_hash_join", "hex", "suffix") + [(h, "C") for h in walked]
+    assert rows("catalog_parse_sqlite", "hex", "suffix") == sorted(want) and len(walked) > 150
+    assert rows("inventory_listing", "full_hash", "suffix") == [(h + "C", "C") for h in walked]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

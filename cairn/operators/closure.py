@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.scratch import table_of
 from cairn.sources import catalogs
 
 
@@ -16,22 +15,6 @@ class CatalogError(RuntimeError):
     """Catalogs that can't be read; going on would take their live objects for garbage."""
 
 
-def folder_of(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def table_of(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back, which cuts its lineage."""
-    path = folder_of(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def closure(edges: DataFrame, roots: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """hex and depth of all that roots (hex) reach over edges (parent_hash, child_hash), each once, at its least depth.
 

@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch sent to Python. Texts of a megabyte each must still fit in memory.
-ARROW_ROWS = 512
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is missing (a single machine, as in tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from cairn.scratch import Tables, folder_of, table_of
 
+scratch, written = folder_of, table_of
+__all__ = ["SETTINGS", "Tables", "prepare", "remainder", "scratch", "table", "utf8_bytes", "with_column", "with_field", "within", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the scratch folder: lineage ends there and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: What the queries and the pipeline set for their session; the operators themselves set nothing and work without.
+#: Batches sent to Python are bounded by bytes, whatever texts they hold; shuffle files go when their job has ended.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
-def freed(df: DataFrame) -> DataFrame:
-    """df, a written table, after the shuffle files of the jobs before it may go.
-
-    Spark removes a shuffle's files when the driver's garbage collector finds nothing that refers to them, which may
-    take long on a driver that has little to do. Between stages of much data it is asked to look.
-    """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def prepare(spark: SparkSession) -> None:
+    """Set SETTINGS for the session of a query."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
 
 
 def within(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -50,11 +32,6 @@ def within(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def in_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of the jobs that follow by rows, whatever the session says."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,16 +5,20 @@ links. Equal sets are one class, whatever their number, and only one text of a c
 
 1. Filter. With tokens in hash order, two linked sets of n and n' tokens share the first t of their common tokens
    within the first n // 5 + t tokens of each. So a set most of whose first quarter of tokens occurs in no other set's
-   first quarter links with nothing. Tokens travel packed: a block of documents sends each bucket of hashes its
-   distinct tokens and gets back those that another block has too.
+   first quarter links with nothing. Tokens travel packed: a block of sets sends each bucket of hashes its tokens, with
+   the set of each, and gets back how many of a set's tokens another set has too.
 2. Groups. The sets left are sorted by min-hashes and cut into groups of at most GROUP; each group's pairs are compared
-   in one task, and each component within a group is contracted to one set for a second round by other min-hashes.
-3. Matrix. Each group's token union is a row set (token, group). A set orders its tokens by the number of groups that
-   have them; a linked set shares one of the first n // 5 + 1. So a set queries only the groups that have one of
-   those, only if they have members of a component that is larger than its own, and a group that holds fewer than
-   4/5 of the set's tokens in its union isn't opened. Queries of a much-asked group are split over tasks.
+   in one task. The best linked set of a group is compared with the next group too while the min-hash stays the same, so
+   a long run of near copies becomes one component. Each component is contracted to its best linked set, and those are
+   grouped again by other min-hashes.
+3. Matrix. Each group's token union has a row (token, group) for every token of two groups or more. A set orders its
+   tokens by the number of groups that have them, the rarest first. If x has no fewer tokens than y and links with it,
+   their first common token is so early in both that enough tokens follow (`probe`), so few rows are asked for and few
+   can answer, and a component that is one already is never asked. A group that holds fewer than 4/5 of a set's tokens
+   in its union isn't opened. Queries of a much-asked group are split over tasks.
 
 No bound drops a link: each step either compares two sets or proves that they don't link or are connected already.
+Tokens are 64-bit hashes of shingles and are compared as such, not by their words; classes are told apart by 128 bits.
 
 Edge cases: null and empty texts, and those of white space only, have an empty set, linked with nothing; fewer words
 than a shingle are one shingle; keys are integers; rows of an equal key are one document with its rows' links
@@ -31,21 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import freed, in_batches, within, written
+from cairn.llm.common import Tables, within
 from cairn.llm.components import connected
 from cairn.llm.textkernel import SPACE, chained, mix, slices, words
 
 SHINGLE = 5
 #: Sets of a group, and queries of a group that one task compares.
 GROUP, QUERIES = 128, 512
-#: Tokens of a bucket in the filter, about.
-BUCKET = 500_000
+#: Tokens of a block and of a bucket of the filter and the matrix, about.
+BLOCK, BUCKET = 1 << 19, 500_000
+#: Bytes of tokens in a partition of groups, about.
+PARTITION = 8 << 20
 #: Columns of a block of the incidence matrix.
 COLUMNS = 8192
-#: Rows of an Arrow batch of groups, each of which holds its members' tokens.
-GROUP_ROWS = 4
-#: Keys (8 bytes each) that a join broadcasts at most.
-BROADCAST_KEYS = 2_000_000
+#: Keys (8 bytes each, 4 MB) that a join broadcasts at most.
+BROADCAST_KEYS = 500_000
 _U = np.uint64
 
 
@@ -64,6 +68,9 @@ def needed(n):
     return sure((4 * n + 4) // 5)
 
 
+_NEEDED = "((4 * n + 4) div 5) div 12 + 1"  # needed(), in SQL
+
+
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for first, end, data, offsets in slices(texts):
@@ -79,73 +86,134 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, _U)
 
 
+def _tokens(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Views of a binary column's values."""
+    return [np.frombuffer(x.as_buffer(), _U) if x.is_valid else np.zeros(0, _U) for x in column]
+
+
+def _of(column, kind) -> np.ndarray:
+    """A binary column's values end to end."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), kind)
+
+
+def _name(content: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+
+
 def sign(docs: DataFrame, *, text: str, key: str) -> DataFrame:
-    """key, n, digest of the set, block, and the packed tokens of the filter's prefix."""
+    """key, n, digest of the set, block and row in it, and the packed tokens of the filter's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = row = held = 0
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1)))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            prefixes = [s[: most_missing(len(s)) + sure(len(s))].tobytes() for s in sets]
-            block = int.from_bytes(hashlib.blake2b(b"".join(digests) + np.array(batch.column(0).fill_null(-1)).tobytes(), digest_size=8).digest(), "little", signed=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(np.full(len(sets), block)), pa.array(prefixes, pa.binary())], ["key", "n", "digest", "block", "prefix"])
+            ns, digests, blocks, rows, prefixes = [], [], [], [], []
+            for own in shingle_sets(batch.column(1)):
+                digest = hashlib.blake2b(own.data, digest_size=16).digest()
+                if not row or held >= BLOCK:
+                    block, row, held = _name(digest + repr((batch.column(0)[len(ns)].as_py(), block)).encode()), 0, 0
+                prefix = own[: most_missing(len(own)) + sure(len(own))] if len(own) else own
+                ns.append(len(own))
+                digests.append(digest)
+                blocks.append(block)
+                rows.append(row)
+                prefixes.append(prefix.tobytes())
+                row, held = row + 1, held + len(prefix)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(blocks, pa.int64()), pa.array(rows, pa.int32()), pa.array(prefixes, pa.binary())], ["key", "n", "digest", "block", "row", "prefix"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(run, "key long, n long, digest binary, block long, prefix binary"), "signed")
+    return rows.mapInArrow(run, "key long, n long, digest binary, block long, row int, prefix binary")
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    if not len(ordered):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    return np.append(0, cuts), np.append(cuts, len(ordered))
+
+
+_SENT = "bucket long, block long, tokens binary, rows binary"
+
+
+def _deal(block: int, tokens: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """_SENT of a block: its tokens by bucket, each with its row."""
+    bucket = (mix(tokens) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, tokens, rows = bucket[order], tokens[order], rows[order]
+    starts, ends = _runs(bucket)
+    parts = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(starts), block)), parts(tokens), parts(rows.astype(np.int32))], ["bucket", "block", "tokens", "rows"])
+
 
+def _meeting(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(message, row, token, number of its first equal) of a bucket's tokens in the order of tokens; messages in table order."""
+    tokens, rows = _of(table.column("tokens"), _U), _of(table.column("rows"), np.int32)
+    message = np.repeat(np.arange(table.num_rows, dtype=np.int32), [len(x.as_buffer()) // 8 for x in table.column("tokens")])
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
+    starts, ends = _runs(tokens)
+    return message[order], rows[order], tokens, np.repeat(np.arange(len(starts)), ends - starts)
 
-def _tokens(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, _U) for x in column]
 
+def _packed(table: pa.Table, message: np.ndarray, name: str, **values: np.ndarray) -> pa.Table:
+    """A row for each message that occurs: the column `block` of its row in the table as `name`, and its values, packed."""
+    order = np.argsort(message, kind="stable")
+    message = message[order]
+    starts, ends = _runs(message)
+    spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    columns = {k: v[order] for k, v in values.items()}
+    return pa.table({name: table.column("block").take(pa.array(message[starts]))} | {k: pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for k, v in columns.items()})
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Keys of sets that the filter leaves."""
+
+def candidates(signed: DataFrame, tables: Tables) -> DataFrame:
+    """digest of the classes that the filter leaves."""
     total = signed.agg(F.sum("n")).first()[0] or 0
-    buckets = max(16, int(total / 4 / BUCKET))
+    buckets = max(16, int(total / 3.5 / BUCKET))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            name = held[0][0].column("block")[held[0][1]].as_py()
+            own, row, digests = [], [], set()
+            for batch, a, b in held:
+                for i in range(a, b):
+                    # a token counts once for each different set of the block
+                    if (digest := batch.column("digest")[i].as_py()) not in digests:
+                        digests.add(digest)
+                        own.append(batch.column("prefix")[i].as_buffer())
+                        row.append((batch.column("row")[i].as_py(), len(own[-1]) // 8))
+            tokens = np.frombuffer(b"".join(own), _U)
+            return _deal(name, tokens, np.repeat([r for r, _ in row], [n for _, n in row]), buckets)
+
         for batch in batches:
-            frame = batch.to_pandas()
-            for block, rows in frame.groupby("block"):
-                # a token counts once for each different set of the block
-                once = rows.drop_duplicates("digest")
-                tokens, count = np.unique(np.concatenate(_tokens(once["prefix"])), return_counts=True)
-                bucket = (mix(tokens) % _U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                tokens, count, bucket = tokens[order], count[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()),
-                        pa.array([tokens[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
-                        pa.array([(count[cuts[b] : cuts[b + 1]] > 1).tobytes() for b in some], pa.binary()),
-                    ],
-                    ["bucket", "block", "tokens", "here"],
-                )
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and held and held[0][0].column("block")[held[0][1]].as_py() != blocks[a]:
+                    yield flush()
+                    held.clear()
+                if a < b:
+                    held.append((batch, a, b))
+        if held:
+            yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        """Of a bucket: each block's tokens that stand in another of its sets or in another block."""
-        own, here = _tokens(table.column("tokens").to_pylist()), [np.frombuffer(x, bool) for x in table.column("here").to_pylist()]
-        every, count = np.unique(np.concatenate(own), return_counts=True)
-        shared = every[count > 1]
-        found = [t[h | np.isin(t, shared, assume_unique=True)].tobytes() for t, h in zip(own, here, strict=True)]
-        return pa.table({"block": table.column("block"), "tokens": pa.array(found, pa.binary())})
-
-    def count(table: pa.Table, shared: pa.Table) -> pa.Table:
-        if not table.num_rows or not shared.num_rows:
-            return pa.table({"key": pa.array([], pa.int64()), "digest": pa.array([], pa.binary())})
-        common = np.unique(np.concatenate(_tokens(shared.column("tokens").to_pylist())))
-        own, n = _tokens(table.column("prefix").to_pylist()), table.column("n").to_numpy()
-        hits = np.array([np.isin(t, common, assume_unique=True).sum() for t in own])
-        kept = (n > 0) & (hits >= needed(n))
-        return table.select(["key", "digest"]).filter(pa.array(kept))
-
-    sent = signed.where("n > 0").select("block", "digest", "prefix").mapInArrow(send, "bucket long, block long, tokens binary, here binary")
-    back = sent.groupBy("bucket").applyInArrow(meet, "block long, tokens binary")
-    left = signed.where("n > 0 and key is not null").select("block", "key", "n", "digest", "prefix")
-    return left.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(count, "key long, digest binary")
+        """Of a bucket: the set of each token that stands in another set too."""
+        message, row, _, number = _meeting(table)
+        shared = np.bincount(number)[number] > 1
+        return _packed(table, message[shared], "block", rows=row[shared])
+
+    def count(table: pa.Table) -> pa.Table:
+        """Of a block: how many such tokens each set has."""
+        hits = np.bincount(_of(table.column("rows"), np.int32))
+        row = np.flatnonzero(hits)
+        return pa.table({"block": table.column("block").take(pa.array(np.zeros(len(row), np.int64))), "row": pa.array(row.astype(np.int32)), "hits": pa.array(hits[row])})
+
+    sent = signed.where("n > 0").select("block", "row", "digest", "prefix").mapInArrow(send, _SENT)
+    back = sent.groupBy("bucket").applyInArrow(meet, "block long, rows binary")
+    met = tables.write(back.groupBy("block").applyInArrow(count, "block long, row int, hits long"), "hits")
+    return signed.select("block", "row", "n", "digest").join(met, ["block", "row"]).where(f"hits >= {_NEEDED}").select("digest").distinct()
 
 
 def set_table(docs: DataFrame, keys: DataFrame, *, text: str, key: str) -> DataFrame:
@@ -154,13 +222,13 @@ def set_table(docs: DataFrame, keys: DataFrame, *, text: str, key: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1)))
-            sizes = pa.array(np.array([len(s) for s in sets], np.int64))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
             low = np.array([[int(mix(s * _U(2 * seed + 3) + _U(seed)).min()) if len(s) else 0 for seed in range(4)] for s in sets], _U).reshape(len(sets), 4)
             keys = [pa.array(mix(low[:, 2 * r] + mix(low[:, 2 * r + 1])).view(np.int64)) for r in range(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "key1", "key2", "tokens"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(within(keys, keys.count(), BROADCAST_KEYS), "id")
-    return written(rows.mapInArrow(run, "id long, n long, key1 long, key2 long, tokens binary"), "sets")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(keys, "id", "left_semi")
+    return rows.mapInArrow(run, "id long, n long, key1 long, key2 long, tokens binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -172,10 +240,15 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         return out
     known = np.unique(own)
     known = known[np.isin(known, asked)]
-    place = lambda sets: (np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(known, np.concatenate(sets)))
-    (lr, lc), (rr, rc) = place(left), place(right)
-    keep = lambda r, c, t: (lambda m: (r[m], c[m]))((c < len(known)) & (known[np.minimum(c, len(known) - 1)] == t) if len(known) else np.zeros(len(c), bool))
-    (lr, lc), (rr, rc) = keep(lr, lc, asked), keep(rr, rc, own)
+    if not len(known):
+        return out
+
+    def place(sets: list[np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(known, tokens)
+        met = known[np.minimum(at, len(known) - 1)] == tokens
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[met], at[met]
+
+    (lr, lc), (rr, rc) = place(left, asked), place(right, own)
     for start in range(0, len(known), COLUMNS):
         width = min(COLUMNS, len(known) - start)
         a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
@@ -192,141 +265,181 @@ def linked(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 5 * common >= 4 * (n[:, None] + m[None, :] - common)
 
 
-def _roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The least id of each set's component in a square link matrix."""
-    label = ids.copy()
+def _components(links: np.ndarray) -> np.ndarray:
+    """The least number of each set's component in a square link matrix."""
+    label = np.arange(len(links))
     while True:
-        new = np.where(links, label[None, :], np.iinfo(np.int64).max).min(1)
-        new = np.minimum(new, label)
+        new = np.where(links, label[None, :], len(links)).min(1)
         if (new == label).all():
             return label
         label = new
 
 
-def group(sets: DataFrame, by: str, tokens: bool = True) -> DataFrame:
-    """Groups of at most GROUP sets that are near in the order of `by`: group, ids, ns, roots within the group and, if asked for, tokens, as lists."""
-
-    def pack(rows: list[dict]) -> dict:
-        ids, ns, tokens = np.array([r["id"] for r in rows]), np.array([r["n"] for r in rows]), _tokens([r["tokens"] for r in rows])
-        links = linked(overlaps(tokens, tokens), ns, ns)
-        np.fill_diagonal(links, True)
-        name = int.from_bytes(hashlib.blake2b(ids.tobytes() + ns.tobytes(), digest_size=8).digest(), "little", signed=True)
-        return {"group": name, "ids": ids.tolist(), "ns": ns.tolist(), "roots": _roots(links, ids).tolist(), "tokens": [t.tobytes() for t in tokens]}
-
-    kind = pa.schema([("group", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("roots", pa.list_(pa.int64())), ("tokens", pa.list_(pa.binary()))])
+def group(sets: DataFrame, by: str) -> DataFrame:
+    """Groups of at most GROUP sets that are near in the order of `by`: group, ids, ns, the set that each one's component
+    within the group is contracted to (roots), and tokens, as lists. Equal rows are one set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[dict] = []
+        rest: list[tuple] = []
+        pivot = None  # the best linked set of the group before, with the last min-hash there
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            nonlocal pivot
+            held = [*rows, pivot] if pivot and pivot[2] == rows[0][2] and pivot[0] not in {r[0] for r in rows} else rows
+            ids, ns, tokens = np.array([r[0] for r in held]), np.array([r[1] for r in held]), [r[3] for r in held]
+            links = linked(overlaps(tokens, tokens), ns, ns)
+            np.fill_diagonal(links, True)
+            part, degree = _components(links), links.sum(1)
+            if len(held) > len(rows):
+                degree[-1] = len(held) + 1  # what it stands for goes on
+            best = np.zeros(len(held), np.int64)
+            for i in np.lexsort((-ids, degree)):
+                best[part[i]] = i
+            roots, last = best[part], np.flatnonzero([r[2] == rows[-1][2] for r in held[: len(rows)]])
+            top = held[roots[last[np.argmax(degree[last])]]]
+            pivot = (top[0], top[1], rows[-1][2], top[3])
+            n = len(rows)
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids[:n], ns[:n], ids[roots[:n]])]
+            return pa.RecordBatch.from_arrays([pa.array([_name(ids[:n].tobytes() + ns[:n].tobytes())]), *lists, pa.array([[t.tobytes() for t in tokens[:n]]], pa.list_(pa.binary()))], ["group", "ids", "ns", "roots", "tokens"])
+
         for batch in batches:
-            rest += batch.to_pylist()
-            while len(rest) >= GROUP:
-                yield pa.RecordBatch.from_pylist([pack(rest[:GROUP])], kind)
-                rest = rest[GROUP:]
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), map(np.copy, _tokens(batch.column(3))), strict=True):
+                if rest and rest[-1][0] == row[0] and np.array_equal(rest[-1][3], row[3]):
+                    continue
+                if len(rest) == GROUP:
+                    yield pack(rest)
+                    rest = []
+                rest.append(row)
         if rest:
-            yield pa.RecordBatch.from_pylist([pack(rest)], kind)
+            yield pack(rest)
 
-    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = sets.repartitionByRange(parts, by, "id").sortWithinPartitions(by, "id").select("id", "n", "tokens")
-    out = ordered.mapInArrow(run, "group long, ids array<long>, ns array<long>, roots array<long>, tokens array<binary>")
-    return freed(written(out if tokens else out.drop("tokens"), "groups"))
+    count = sets.agg(F.sum("n")).first()[0] or 0
+    ordered = sets.repartitionByRange(max(1, 8 * count // PARTITION), by, "id").sortWithinPartitions(by, "id").select("id", "n", by, "tokens")
+    return ordered.mapInArrow(run, "group long, ids array<long>, ns array<long>, roots array<long>, tokens array<binary>")
 
 
 def members(groups: DataFrame) -> DataFrame:
-    return groups.select("group", F.explode(F.arrays_zip("ids", "roots")).alias("m")).select("group", F.col("m.ids").alias("id"), F.col("m.roots").alias("root"))
-
-
-def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
+    """group, place in it, id, n and root."""
+    one = groups.select("group", F.posexplode(F.arrays_zip("ids", "ns", "roots")).alias("place", "m"))
+    return one.select("group", "place", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.roots").alias("root"))
+
+
+_PROBES = "token long, own long, id long, component long, n long, place long, least long, top long, room long"
+
+
+def _reach(back: pa.Table, placed: pa.Table) -> pa.Table:
+    """_PROBES of a group. back: packed tokens, groups and rows, of what other groups have too; placed: place, id, n, component.
+
+    A set of n tokens, in order the rarest first, has its i-th token looked up if i <= n // 5 and may be found by it if
+    i <= n // 9. Rows to be found by (id null) say of a component's sets that have the token: the least and the greatest
+    size, and the most of 9 * (n - i) - 4 * n.
+    """
+    empty = pa.schema([(name, pa.int64()) for name in (x.split()[0] for x in _PROBES.split(", "))]).empty_table()
+    if not back.num_rows or not placed.num_rows:
+        return empty
+    numbers = lambda t, c: t.column(c).to_numpy()
+    at = np.argsort(numbers(placed, "place"))
+    ids, sizes, component = (numbers(placed, c)[at] for c in ("id", "n", "component"))
+    token, row, groups = _of(back.column("tokens"), np.int64), _of(back.column("rows"), np.int32), _of(back.column("groups"), np.int32)
+    order = np.lexsort((token, groups, row))
+    token, row = token[order], row[order]
+    have = np.bincount(row, minlength=len(ids))  # shared tokens of each set; the others come before them
+    place = np.arange(len(row)) - (np.cumsum(have) - have)[row] + (sizes - have)[row]
+    n = sizes[row]
+    asks = place <= n // 5
+    found = np.flatnonzero(place <= n // 9)
+    found = found[np.lexsort((component[row[found]], token[found]))]
+    t, c, m, room = token[found], component[row[found]], n[found], (9 * (n - place) - 4 * n)[found]
+    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])) if len(t) else np.zeros(0, np.int64)
+    own = placed.column("group")[0].as_py()
+    same = lambda k: pa.array(np.full(k, own))
+    null = lambda k: pa.nulls(k, pa.int64())
+    a, b = int(asks.sum()), len(first)
+    over = lambda f, x: pa.array(f.reduceat(x, first)) if b else null(0)
+    asking = [token[asks], same(a), ids[row[asks]], component[row[asks]], n[asks], place[asks], null(a), null(a), null(a)]
+    finding = [t[first], same(b), null(b), c[first], null(b), null(b), over(np.minimum, m), over(np.maximum, m), over(np.maximum, room)]
+    return pa.concat_tables([pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=empty.schema) for columns in (asking, finding)])
+
+
+def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame, tables: Tables) -> DataFrame:
     """Links (a, b) between members of different groups that aren't in one component of `known` (id, component)."""
-    in_batches(groups.sparkSession, GROUP_ROWS)
-    of = members(groups).select("group", "id").join(known, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component"))
-    sizes = of.groupBy("component").agg(F.count("*").alias("size"))
-    of = written(of.join(sizes, "component"), "placed")
+    of = members(groups)
+    buckets = max(16, int((of.agg(F.sum("n")).first()[0] or 0) / BUCKET))
+    placed = of.join(known, "id", "left").select("group", F.col("place").cast("long").alias("place"), "id", "n", F.coalesce("component", "id").alias("component"))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                union = np.unique(np.concatenate(_tokens(packed))) if packed else np.zeros(0, _U)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(union), name)), pa.array(union.view(np.int64))], ["group", "token"])
-
-    matrix = groups.select("group", "tokens").mapInArrow(unpack, "group long, token long")
-    # Only tokens of two groups or more matter; the others count as 1.
-    wide = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    shared = written(matrix.join(wide, "token"), "matrix")
-    listed = shared.groupBy("group").agg(F.collect_list(F.struct("token", "groups")).alias("shared"))
+            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _tokens(packed.values)
+                yield _deal(name, np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), buckets)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                name, ids, packed, found = (batch.column(c)[i] for c in ("group", "ids", "tokens", "shared"))
-                tokens = found.values.field("token").to_numpy().view(_U)
-                groups_of = found.values.field("groups").to_numpy()
-                order = np.argsort(tokens)
-                tokens, groups_of = tokens[order], groups_of[order]
-                for one, own in zip(ids.as_py(), _tokens(packed.as_py()), strict=True):
-                    at = np.searchsorted(tokens, own)
-                    met = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == own)
-                    spread = np.where(met, groups_of[np.minimum(at, len(tokens) - 1)], 1)
-                    first = np.argsort(spread, kind="stable")[: most_missing(len(own)) + 1]
-                    asked = own[first[spread[first] > 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), one)), pa.array(np.full(len(asked), name.as_py())), pa.array(asked.view(np.int64))], ["id", "own", "token"])
-
-    probes = groups.join(listed, "group").select("group", "ids", "tokens", "shared").mapInArrow(probe, "id long, own long, token long")
-    rank = lambda size, component: F.struct(F.col(size).alias("size"), F.col(component).alias("component"))
-    tops = of.groupBy("group").agg(F.max(rank("size", "component")).alias("top"))
-    asks = probes.join(of.select("id", rank("size", "component").alias("mine")).distinct(), "id")
-    has = shared.select("group", "token").join(tops, "group")
-    pairs = asks.join(has, "token").where("group <> own and top > mine").select("id", "group").distinct()
-    pairs = written(pairs, "pairs")
-    in_batches(groups.sparkSession)
-    load = pairs.groupBy("group").agg(F.count("*").alias("asked")).select("group", F.ceil(F.col("asked") / QUERIES).cast("int").alias("parts"))
-    load = written(load, "load")
+    def meet(table: pa.Table) -> pa.Table:
+        """Of a bucket: the tokens that two groups or more have, how many have them, and where they stand."""
+        message, row, token, number = _meeting(table)
+        pairs = np.unique(number.astype(np.int64) << 32 | message)
+        groups = np.bincount(pairs >> 32)[number]
+        some = groups > 1
+        return _packed(table, message[some], "group", tokens=token[some], rows=row[some], groups=groups[some].astype(np.int32))
+
+    back = groups.select("group", "tokens").mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, "group long, tokens binary, rows binary, groups binary")
+    probes = tables.write(back.groupBy("group").cogroup(placed.groupBy("group")).applyInArrow(_reach, _PROBES), "probes")
+    asks = probes.where("id is not null").select("token", "own", "id", F.col("component").alias("mine"), "n", "place")
+    has = probes.where("id is null").select("token", F.col("own").alias("group"), "component", "least", "top", "room")
+    # y of m tokens, of x's size at most, has place j of the token: both 9 * (n - place) and 9 * (m - j) reach 4 * (n + m)
+    may = "least <= n and 5 * top >= 4 * n and 4 * (n + least) <= 9 * (n - place) and 4 * n <= room"
+    met = asks.join(has, "token").where(f"group <> own and component <> mine and {may}").select("id", "group").distinct()
+    pairs = tables.write(met, "pairs")
+    load = tables.write(pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "load")
     asking = pairs.join(load, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "group", "part")
-    own = written(asking.select("id").distinct(), "asking")
+    own = tables.write(asking.select("id").distinct(), "asking")
     asked = asking.join(sets.select("id", "n", "tokens").join(within(own, own.count(), BROADCAST_KEYS), "id", "left_semi"), "id").select("group", "part", "id", "n", "tokens")
     opened = groups.join(within(load, load.count(), BROADCAST_KEYS), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "part", "ids", "ns", F.col("tokens").alias("packed"))
 
     def compare(queries: pa.Table, held: pa.Table) -> pa.Table:
-        out = {"a": [], "b": []}
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if queries.num_rows:
-            for row in held.to_pylist():
-                sets, m = _tokens(row["packed"]), np.array(row["ns"])
+            ids, n, own = queries.column("id").to_numpy(), queries.column("n").to_numpy(), _tokens(queries.column("tokens"))
+            for i in range(held.num_rows):
+                sets, others, m = _tokens(held.column("packed")[i].values), held.column("ids")[i].values.to_numpy(), held.column("ns")[i].values.to_numpy()
                 union = np.unique(np.concatenate(sets))
-                ids, n, own = queries.column("id").to_numpy(), queries.column("n").to_numpy(), _tokens(queries.column("tokens").to_pylist())
                 bound = np.array([np.isin(t, union, assume_unique=True).sum() for t in own])
                 at = np.flatnonzero(5 * bound >= 4 * n)
-                hit = linked(overlaps([own[i] for i in at], sets), n[at], m)
-                left, right = np.nonzero(hit)
-                out["a"] += ids[at][left].tolist()
-                out["b"] += np.array(row["ids"])[right].tolist()
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+                left, right = np.nonzero(linked(overlaps([own[i] for i in at], sets), n[at], m))
+                a.append(ids[at][left])
+                b.append(others[right])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return asked.groupBy("group", "part").cogroup(opened.groupBy("group", "part")).applyInArrow(compare, "a long, b long")
 
 
-def _representatives(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the keys found, those that are the least of their class: id."""
-    return found.join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).where("key = least").select(F.col("key").alias("id")).distinct()
+def _of_one_key(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of a key that has several, as its rows are one document. known: key, digest."""
+    several = known.groupBy("key").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select("key")
+    pairs = known.join(several, "key", "left_semi").distinct().join(classes, "digest").select("key", "least")
+    least = pairs.groupBy("key").agg(F.min("least").alias("a"))
+    return pairs.join(least, "key").where("a <> least").select("a", F.col("least").alias("b"))
 
 
 def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id, the smallest key that links reach; one row for each row of docs."""
-    in_batches(docs.sparkSession)
-    signed = sign(docs, text=text, key=key)
-    classes = written(signed.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("least")), "classes")
-    kept = written(_representatives(candidates(signed), classes), "kept")
-    sets = set_table(docs, freed(kept), text=text, key=key)
-    groups = group(sets, "key1")
-    first = members(groups).select(F.col("id").alias("a"), F.col("root").alias("b"))
-    roots = written(members(groups).where("id = root").select("id").distinct(), "roots")
-    again = group(sets.join(within(roots, roots.count(), BROADCAST_KEYS), "id", "left_semi"), "key2", tokens=False)
-    links = written(first.unionByName(members(again).select(F.col("id").alias("a"), F.col("root").alias("b"))).where("a <> b"), "near-links")
-    more = freed(written(query_links(sets, groups, written(connected(links), "near-components")), "far-links"))
-    # A key in several classes joins them, as its rows are one document.
-    rows = signed.where("n > 0 and key is not null").join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"))
-    several = rows.groupBy("key").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a <> b").select("a", "b")
-    reached = written(connected(links.unionByName(more).unionByName(several)), "components")
-    named = classes.join(reached, F.col("least") == F.col("id"), "left").select("digest", F.coalesce("component", "least").alias("component"))
-    named = written(named, "named").withColumnRenamed("digest", "of")
-    return signed.join(named, F.col("digest") == F.col("of"), "left").select(
+    tables = Tables(docs.sparkSession, "jaccard")
+    signed = tables.write(sign(docs, text=text, key=key), "signed")
+    sized = tables.write(signed.select("key", "n", "digest"), "sized")
+    known = sized.where("n > 0 and key is not null").select("key", "digest")
+    classes = tables.write(known.groupBy("digest").agg(F.min("key").alias("least")), "classes")
+    left = tables.write(candidates(signed, tables).join(classes, "digest").select(F.col("least").alias("id")).distinct(), "left")
+    tables.drop("signed", "hits")
+    sets = tables.write(set_table(docs, within(left, left.count(), BROADCAST_KEYS), text=text, key=key), "sets")
+    groups = tables.write(group(sets, "key1"), "groups")
+    first = tables.write(members(groups).select("id", "root"), "first")
+    roots = tables.write(first.where("id = root").select("id").distinct(), "roots")
+    second = tables.write(members(group(sets.join(within(roots, roots.count(), BROADCAST_KEYS), "id", "left_semi"), "key2")).select("id", "root"), "second")
+    near = first.unionByName(second).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    reached = tables.write(connected(near), "near")
+    more = tables.write(query_links(sets, groups, reached, tables), "more")
+    tables.drop("probes", "groups", "sets")
+    reached = tables.write(connected(near.unionByName(more).unionByName(_of_one_key(known, classes))), "reached")
+    named = classes.join(reached, F.col("least") == F.col("id"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "least").alias("component"))
+    return sized.join(named, F.col("digest") == F.col("of"), "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component_id")
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import in_batches
+
 from cairn.llm.textkernel import ngram_counts, slices
 
 BITS, ORDERS = 12, (2, 3)
@@ -72,7 +72,6 @@ class LanguageModel:
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model from all rows of docs with a text and a language."""
-    in_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     width = 1 << BITS
 
@@ -117,7 +116,6 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Languag
 
 def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, lang_pred, score (0 to 1) and ambiguous; one row for each row of docs."""
-    in_batches(docs.sparkSession)
     n = len(keep)
     rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col(text).alias("_text"))
     names = np.array([*model.languages, UNKNOWN], dtype=object)

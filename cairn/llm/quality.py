@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import in_batches, with_column
+from cairn.llm.common import with_column
 from cairn.llm.textkernel import ngram_counts, slices
 
 BITS, ORDERS = 12, (1, 2, 3)
@@ -87,7 +87,6 @@ def fit(x: np.ndarray, y: np.ndarray) -> QualityModel:
 
 def train(docs: DataFrame, ratings: DataFrame, *, text: str = "text", key: str = "doc_id", grade: str = "quality", per_grade: int = PER_GRADE) -> QualityModel:
     """A model from docs joined with ratings on the key."""
-    in_batches(docs.sparkSession)
     rated = ratings.select(F.col(key).alias("_key"), F.col(grade).cast("double").alias("_grade")).where("_key is not null and _grade is not null")
     sizes = {r["_grade"]: r["n"] for r in rated.groupBy("_grade").agg(F.count("*").alias("n")).collect()}
     chosen = F.lit(False)
@@ -113,7 +112,6 @@ def train(docs: DataFrame, ratings: DataFrame, *, text: str = "text", key: str =
 
 def score(docs: DataFrame, model: QualityModel, *, text: str = "text", least: float = 1.0) -> DataFrame:
     """docs with expected_grade and tail_probability, P(grade >= least)."""
-    in_batches(docs.sparkSession)
     grades = model.grades
     steps = np.diff(grades)
     cut = int(np.searchsorted(grades, least))  # the first grade that is enough

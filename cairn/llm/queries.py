@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from cairn.llm import bpe, decontamination, jaccard, language_id, quality, substring_dedup, token_counts, toxicity, warc, webp
-from cairn.llm.common import remainder, scratch, table, written
+from cairn.llm import bpe, decontamination, jaccard, language_id, pipeline, quality, substring_dedup, token_counts, toxicity, warc, webp
+from cairn.llm.common import prepare, remainder, scratch, table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -45,13 +47,7 @@ FROM d
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip(docs, path, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,19 +134,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def _prepared(query: Callable) -> Callable:
+    """The query, run with the session's SETTINGS."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op1_token_counts": op1_token_counts,
-    "op2_language_id": op2_language_id,
-    "op3_warc_archive": op3_warc_archive,
-    "op4_bpe_codec": op4_bpe_codec,
-    "op5_substring_dedup": op5_substring_dedup,
-    "op6_quality": op6_quality,
-    "op7_decontamination": op7_decontamination,
-    "op8_ngram_jaccard": op8_ngram_jaccard,
-    "op9_media_webp": op9_media_webp,
-    "op10_toxicity": op10_toxicity,
-    "pipeline": corpus_pipeline.run,
-}
+    query.__name__: _prepared(query)
+    for query in (
+        op1_token_counts, op2_language_id, op3_warc_archive, op4_bpe_codec, op5_substring_dedup,
+        op6_quality, op7_decontamination, op8_ngram_jaccard, op9_media_webp, op10_toxicity,
+    )
+} | {"pipeline": _prepared(pipeline.run)}
 ORACLES: dict[str, str] = {
     "op3_warc_archive": OP3_SQL,
     "op7_decontamination": OP7_SQL,

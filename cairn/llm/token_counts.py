@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import in_batches, scratch, utf8_bytes, written
+from cairn.llm.common import scratch, utf8_bytes, written
 
 #: The split pattern of the byte-level pre-tokenizer. Fixed value.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,7 +132,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "te
     appended before this returns. `key` only spreads the texts of misses; it need not be unique.
     """
     spark = docs.sparkSession
-    in_batches(spark)
     version = tokenizer_version(tokenizer)
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(body, 256))

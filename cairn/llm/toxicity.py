@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import in_batches
+
 from cairn.llm.textkernel import LOWER, NOT_ALNUM, hashes, slices, words
 
 BITS = 18
@@ -114,7 +114,6 @@ def fit(buckets: np.ndarray, first: np.ndarray, bag: np.ndarray, y: np.ndarray)
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
     """A model from docs joined with labels (0 or 1) on the key."""
-    in_batches(docs.sparkSession)
     known = labels.select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("_y")).where("_key is not null and _y is not null")
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -147,7 +146,6 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
     """The columns `keep`, score and offending: an array of (begin, end, probability), in bytes of the UTF-8 text, of sentences of at least `least`."""
-    in_batches(docs.sparkSession)
     n = len(keep)
     rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
     item = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])

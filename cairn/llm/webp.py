@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import in_batches
+
 
 #: Bytes of a row of pixels, pixels of a row, and most rows.
 ROW, WIDTH, MOST_ROWS = 192, 64, 1 << 14
@@ -554,7 +554,6 @@ def describe(rgb: np.ndarray) -> str:
 
 def store(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, n_bytes, payload_bytes and media, the text's padded bytes as a WebP file."""
-    in_batches(docs.sparkSession)
     n = len(keep)
     rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
@@ -574,7 +573,6 @@ def store(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 def read(stored: DataFrame) -> DataFrame:
     """stored with width, height, payload (the pixels' bytes, as many as payload_bytes) and feature."""
-    in_batches(stored.sparkSession)
     added = ["width", "height", "payload", "feature"]
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:

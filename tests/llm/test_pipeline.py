@@ -5,8 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline as pipeline
-from cairn.llm import queries
+from cairn.llm import pipeline, queries
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -84,8 +86,38 @@ def test_segment_tree_merges_as_a_plain_search(ids, seed):
     assert bpe.merge(list(ids), ranks, merged) == plain_merge(list(ids), ranks, merged)
 
 
-def test_memo_is_bounded():
-    memo = bpe.Memo(lambda x: x.encode(), limit=10)
-    for i in range(1000):
-        assert memo[str(i % 37)] == str(i % 37).encode()
-        assert len(memo) <= 10 and len(memo.old) <= 10
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=2, max_size=17), min_size=1, max_size=20), st.integers(0, 10**6))
+def test_trees_side_by_side_merge_as_a_plain_search(pieces, seed):
+    draw = random.Random(seed)
+    ranks, merged = {}, []
+    for _ in range(12):
+        pair = draw.randrange(4 + len(merged)) << 20 | draw.randrange(4 + len(merged))
+        if pair not in ranks:
+            ranks[pair] = len(merged)
+            merged.append(4 + len(merged))
+    ids, n = bpe.merge_all(np.array(sum(pieces, [])), np.array([len(x) for x in pieces]), 16, bpe.Ranks(ranks), np.array(merged))
+    ends = np.cumsum(n).tolist()
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [plain_merge(list(x), ranks, merged) for x in pieces]
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    coder = bpe.ByteBpe(PATH)
+    whole = bpe.ByteBpe(PATH)
+    whole.memo = dict.fromkeys([])
+    for i in range(60):
+        text = " ".join(str(x) for x in range(i, i + 4))
+        ids, starts = coder.encode([text, None, text])
+        assert ids[starts[2] :].tolist() == ids[: starts[1]].tolist() == whole.encode([text])[0].tolist()
+        assert len(coder.memo) <= 20
+
+
+def test_round_trip(spark, docs_of, library):
+    names = ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256", "exact")
+    for r in bpe.round_trip(docs_of(TEXTS).withColumn("exact", F.lit("clash")), PATH, outputs=names).collect():
+        want = ids_of(library, TEXTS[r["doc_id"]])
+        decoded = library.decode(want, skip_special_tokens=False)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert (r["ids"], r["n_tokens"], r["ids_sha256"]) == (want, len(want), sha(",".join(map(str, want))))
+        assert (r["decoded"], r["decoded_sha256"], r["exact"]) == (decoded, sha(decoded), True)

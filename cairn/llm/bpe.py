@@ -34,7 +34,7 @@ from cairn.llm.token_counts import BYTE_LEVEL_PATTERN, byte_alphabet, is_plain_b
 #: Pieces of a memo, about 200 bytes each, before those that the present batch doesn't have are dropped.
 MEMO = 120_000
 #: Bytes of the longest piece whose tree is a row among others, and leaves of the trees merged together.
-SHORT, LEAVES = 64, 1 << 18
+SHORT, LEAVES = 64, 1 << 16
 #: Code points on which every Unicode version agrees about letters, digits and white space, as ends of ranges; texts
 #: with others are split by the library.
 SETTLED = ((0, 0x530), (0x2000, 0x2080))

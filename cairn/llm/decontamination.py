@@ -54,7 +54,7 @@ def item_words(items: DataFrame, *, text: str = "text", key: str = "item_id") ->
 
 def build_index(docs: DataFrame, terms: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Postings (doc, term, position) of the given terms, written once. Term "" is the sentinel: its position is the word count."""
-    vocabulary = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([(_CLOSE,)], "term string"))
+    vocabulary = terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(_CLOSE)))
     vocabulary = written(vocabulary.select("term"), "terms")
     all_words = F.concat(words(text), F.array(F.lit(_CLOSE)))
     tokens = docs.select(F.col(key).alias("doc"), F.posexplode(all_words).alias("position", "word"))

@@ -8,6 +8,7 @@ words there are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,6 @@ import pyarrow.compute as pc
 SLICE = 1 << 18
 _U = np.uint64
 _BASE, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_powers: dict[str, np.ndarray] = {}
 
 #: Bytes that end words: white space only, or everything in ASCII but letters and digits.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -32,14 +32,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _powers_up_to(n: int, inverse: bool) -> np.ndarray:
+    factors = np.full(n, _U(pow(int(_BASE), -1, 1 << 64)) if inverse else _BASE, _U)
+    factors[0] = _U(1)
+    return np.cumprod(factors, dtype=_U)
+
+
+@lru_cache(maxsize=2)
+def _common_powers(inverse: bool) -> np.ndarray:
+    return _powers_up_to(SLICE, inverse)
+
+
 def _power(n: int, inverse: bool) -> np.ndarray:
-    name = "inverse" if inverse else "power"
-    if len(_powers.get(name, ())) < n:
-        base = _U(pow(int(_BASE), -1, 1 << 64)) if inverse else _BASE
-        factors = np.full(max(n, SLICE), base, _U)
-        factors[0] = _U(1)
-        _powers[name] = np.cumprod(factors, dtype=_U)
-    return _powers[name][:n]
+    """The first n powers of the base; those for longer texts than a slice aren't held."""
+    return _common_powers(inverse)[:n] if n <= SLICE else _powers_up_to(n, inverse)
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x632BE59BD9B4E019))

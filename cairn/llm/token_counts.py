@@ -122,7 +122,7 @@ def cached(spark, cache: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], CACHE)
+        return spark.range(0).select(F.lit("").alias("tokenizer"), F.lit(b"").alias("digest"), F.lit(0).cast("long").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

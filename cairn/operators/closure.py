@@ -21,7 +21,8 @@ def closure(edges: DataFrame, roots: DataFrame, seen: DataFrame | None = None) -
     Catalogs in `seen` (hex) and all below them only through them are left out: equal content has equal subtrees. A
     level is one job and one written table, so depth costs jobs and breadth doesn't.
     """
-    known = seen.select("hex").distinct() if seen is not None else None
+    edges = table_of(edges.select("parent_hash", "child_hash"), "edges")
+    known = table_of(seen.select("hex").distinct(), "known") if seen is not None else None
     fresh = lambda df: df if known is None else df.join(known, "hex", "left_anti")
     level = table_of(fresh(roots.select("hex").distinct()).withColumn("depth", F.lit(0)), "level")
     found, depth = level, 0
@@ -34,15 +35,28 @@ def closure(edges: DataFrame, roots: DataFrame, seen: DataFrame | None = None) -
 
 
 def closure_sql(spark: SparkSession, edges: DataFrame, root: str) -> DataFrame:
-    """hex and depth by a recursive query: once for each path, so shared subtrees repeat. For edges that are a table."""
-    edges.createOrReplaceTempView("cairn_edges")
-    return spark.sql(
-        """WITH RECURSIVE walk(hex, depth) AS (
-             SELECT CAST(:root AS STRING), 0 UNION ALL
-             SELECT e.child_hash, w.depth + 1 FROM walk w JOIN cairn_edges e ON e.parent_hash = w.hex)
-           SELECT hex, depth FROM walk""",
-        args={"root": root},
-    )
+    """hex and depth by a recursive query: once for each path, so shared subtrees repeat. For edges that are a table.
+
+    Spark's limits on rows and levels are lifted while it runs, and the result is written; edges with a cycle don't end,
+    and the rows of one level are one job's, so large graphs with shared parts are closure()'s.
+    """
+    limits = {f"spark.sql.cteRecursion{x}Limit": "-1" for x in ("Row", "Level")}
+    before = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        found = spark.sql(
+            """WITH RECURSIVE walk(hex, depth) AS (
+                 SELECT CAST(:root AS STRING), 0 UNION ALL
+                 SELECT e.child_hash, w.depth + 1 FROM walk w JOIN {edges} e ON e.parent_hash = w.hex)
+               SELECT hex, depth FROM walk""",
+            args={"root": root},
+            edges=edges,
+        )
+        return table_of(found, "walk")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 @dataclass

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.keys import object_path
-from cairn.operators import closure, references
+from cairn.operators import references
+from cairn.scratch import table_of
 from cairn.sources import catalogs, manifest
 
 SECONDS = 30
@@ -72,12 +73,12 @@ def mirror(spark: SparkSession, base_url: str, target: str, tasks: int = 8) -> D
     level = spark.createDataFrame([(manifest.root_of(fields), "C")], "hex string, suffix string")
     visited, outcome, rows = level, spark.createDataFrame([], FETCHED), spark.createDataFrame([], catalogs.ROWS)
     while not level.isEmpty():
-        outcome = outcome.unionByName(closure.table_of(fetch(level, base_url, data_dir, tasks), "fetched"))
-        parsed = closure.table_of(catalogs.read_catalogs(spark, data_dir, level), "parsed")
+        outcome = outcome.unionByName(table_of(fetch(level, base_url, data_dir, tasks), "fetched"))
+        parsed = table_of(catalogs.read_catalogs(spark, data_dir, level), "parsed")
         rows = rows.unionByName(parsed)
         below = catalogs.edges(parsed).select(F.col("child_hash").alias("hex"), F.lit("C").alias("suffix")).distinct()
-        level = closure.table_of(below.join(visited, ["hex", "suffix"], "left_anti"), "level")
+        level = table_of(below.join(visited, ["hex", "suffix"], "left_anti"), "level")
         visited = visited.unionByName(level)
     content = references.content_refs(catalogs.entries(rows)).unionByName(references.chunk_refs(catalogs.entries(rows), catalogs.chunks(rows))).select("hex", "suffix")
     rest = content.unionByName(manifest.references(fields)).distinct().join(visited, ["hex", "suffix"], "left_anti")
-    return outcome.unionByName(closure.table_of(fetch(rest, base_url, data_dir, tasks), "fetched"))
+    return outcome.unionByName(table_of(fetch(rest, base_url, data_dir, tasks), "fetched"))

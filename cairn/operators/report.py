@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.keys import human_bytes, percent, suffix_dimension
 
 
-def by_suffix(found: DataFrame, checked: int) -> DataFrame:
+def by_suffix(found: DataFrame, checked: int | Column) -> DataFrame:
     """suffix, label, n, bytes and percent of the checked objects, for the known suffixes that occur; found has suffix and size."""
     counted = found.groupBy("suffix").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
     named = counted.join(F.broadcast(suffix_dimension(found.sparkSession)), "suffix")
-    return named.select("suffix", "label", "n", "bytes", F.round(percent(F.col("n"), F.lit(checked)), 6).alias("percent"))
+    return named.select("suffix", "label", "n", "bytes", F.round(percent(F.col("n"), F.lit(checked) if isinstance(checked, int) else checked), 6).alias("percent"))
 
 
 def sweep_totals(objects: DataFrame, found: DataFrame, guarded: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ parts are garbage. Hashes are SHA-1 of a table's name and key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.keys import suffix_from_name
 from cairn.operators import references
+from cairn.scratch import Tables
 
 ROOT, NEW_ROOT = "root", "root2"
 #: Chunks find their entry by this alone: an order's key is unique over all catalogs.
@@ -34,6 +35,7 @@ class Store:
     edges: DataFrame  # parent_hash, child_hash
     entries: DataFrame
     chunks: DataFrame
+    others: DataFrame  # full_hash of what is present though no catalog refers to it
     objects: DataFrame  # full_hash, suffix, size
     references: DataFrame  # hex, suffix, repeats included
     reachable: DataFrame
@@ -65,9 +67,21 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     external = chunks.join(entries.where("(flags & 128) <> 0").select(*PATH), list(PATH)).select(F.concat(F.lower(F.hex("hash")), F.lit("P")).alias("full_hash"))
     kind = F.element_at(F.array(*map(F.lit, ("C", "H", "X", "", ""))), (F.col("p_size") % 5 + 1).cast("int"))
     garbage = read("part").select(F.concat(key("part", "p_partkey"), kind).alias("full_hash"))
-    present = reachable.where("substring(full_hash, 40, 1) <> '0'").unionByName(external).unionByName(garbage).distinct()
-    objects = present.select("full_hash", suffix_from_name(F.col("full_hash")).alias("suffix"), (F.length("full_hash").cast("long") * 7).alias("size"))
-    return Store(catalogs, edges, entries, chunks, objects, refs.select("hex", "suffix"), reachable)
+    others = external.unionByName(garbage)
+    return Store(catalogs, edges, entries, chunks, others, _present(reachable, others), refs.select("hex", "suffix"), reachable)
+
+
+def _present(reachable: DataFrame, others: DataFrame) -> DataFrame:
+    """Objects of a store that has lost some of what is reachable."""
+    names = reachable.where("substring(full_hash, 40, 1) <> '0'").unionByName(others).distinct()
+    return names.select("full_hash", suffix_from_name(F.col("full_hash")).alias("suffix"), (F.length("full_hash").cast("long") * 7).alias("size"))
+
+
+def tabled(whole: Store) -> Store:
+    """The store with reachable and objects as written tables, for queries that use them more than once."""
+    tables = Tables(whole.reachable.sparkSession, "store")
+    reachable = tables.write(whole.reachable, "reachable")
+    return replace(whole, reachable=reachable, objects=tables.write(_present(reachable, whole.others), "objects"))
 
 
 def two_roots(spark: SparkSession, sf_dir: str, whole: Store) -> DataFrame:

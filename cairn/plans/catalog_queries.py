@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.keys import entry_suffix, human_bytes, object_path, prefixes, suffix_from_name
 from cairn.operators import closure, references, report, sweep
-from cairn.plans.casview import NEW_ROOT, PATH, ROOT, reachable_from, sha1_of, store, two_roots
+from cairn.plans.casview import NEW_ROOT, PATH, ROOT, reachable_from, sha1_of, store, tabled, two_roots
+from cairn.scratch import folder_of, table_of
 from cairn.sources import catalogs, inventory, manifest
 
 
@@ -66,56 +67,61 @@ def suffix_of_names(spark, sf):
 
 
 def prefix_histogram(spark, sf):
-    s = store(spark, sf)
-    return report.histogram(sweep.candidates(s.objects, s.reachable).where("suffix = 'X'"), prefixes(spark))
+    return report.histogram(store(spark, sf).objects, prefixes(spark))
 
 
 def gc_candidates(spark, sf):
-    s = store(spark, sf)
+    s = tabled(store(spark, sf))
     return sweep.candidates(s.objects, s.reachable).select("full_hash", "size")
 
 
 def gc_retained(spark, sf):
-    s = store(spark, sf)
+    s = tabled(store(spark, sf))
     return sweep.retained(s.objects, s.reachable).select("full_hash", "size")
 
 
 def missing_objects(spark, sf):
-    s = store(spark, sf)
+    s = tabled(store(spark, sf))
     return sweep.missing(s.objects, s.reachable)
 
 
-def _delta(spark, sf):
-    """(store, candidates of the old root, catalogs that the new root adds, keys that it adds)."""
+def _closures(spark, sf):
+    """(store, catalogs of the old root, catalogs that the new root adds)."""
     s = store(spark, sf)
     edges = two_roots(spark, sf, s)
     old = closure.closure(edges, _root(spark, ROOT))
-    added = closure.closure(edges, _root(spark, NEW_ROOT), seen=old)
-    return s, sweep.candidates(s.objects, reachable_from(s, old)), added, reachable_from(s, added)
+    return s, old, closure.closure(edges, _root(spark, NEW_ROOT), seen=old)
+
+
+def _delta(spark, sf):
+    """(objects, candidates of the old root, keys that the new root adds), all written."""
+    s, old, added = _closures(spark, sf)
+    s = tabled(s)
+    return s.objects, table_of(sweep.candidates(s.objects, reachable_from(s, old)), "found"), table_of(reachable_from(s, added), "delta")
 
 
 def delta_closure(spark, sf):
-    return _delta(spark, sf)[2].select("hex")
+    return _closures(spark, sf)[2].select("hex")
 
 
 def delta_protected(spark, sf):
-    _, found, _, delta = _delta(spark, sf)
+    _, found, delta = _delta(spark, sf)
     return sweep.protected(found, delta).select("full_hash")
 
 
 def delta_survivors(spark, sf):
-    _, found, _, delta = _delta(spark, sf)
+    _, found, delta = _delta(spark, sf)
     return sweep.subtract(found, delta).select("full_hash")
 
 
 def deleted_by_suffix(spark, sf):
-    s = store(spark, sf)
-    return report.by_suffix(sweep.candidates(s.objects, s.reachable), s.objects.count())
+    s = tabled(store(spark, sf))
+    return report.by_suffix(sweep.candidates(s.objects, s.reachable), s.objects.agg(F.count("*")).scalar())
 
 
 def gc_summary(spark, sf):
-    s, found, _, delta = _delta(spark, sf)
-    return report.sweep_totals(s.objects, sweep.subtract(found, delta), sweep.protected(found, delta))
+    objects, found, delta = _delta(spark, sf)
+    return report.sweep_totals(objects, sweep.subtract(found, delta), sweep.protected(found, delta))
 
 
 def human_sizes(spark, sf):
@@ -177,7 +183,7 @@ def _catalog_file(path: str, entries: list, chunks: list, nested: list[str], pac
 def _tree(spark: SparkSession, sf: str) -> str:
     """The derived store's catalogs as files, written by tasks under spark.checkpoint.dir, a folder mounted on driver and
     executors; returns the folder. Root, regions, nations and customers are a file each, half of them compressed."""
-    base = closure.folder_of(spark, "tree")
+    base = folder_of(spark, "tree")
     if not base.startswith(("file:", "/")):
         raise ValueError(f"catalog files need a mounted folder, spark.checkpoint.dir is {base}")
     folder = base.removeprefix("file://").removeprefix("file:") + "/data"
@@ -211,9 +217,27 @@ def catalog_parse_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.reference_multiset(walk.catalogs, catalogs.entries(walk.rows), catalogs.chunks(walk.rows)).select("hex", "suffix")
 
 
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    return inventory.objects(table_of(inventory.list_store(spark, folder, sizes=True), "listing"), folder)
+
+
 def inventory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of the same tree."""
-    return inventory.objects(closure.table_of(inventory.list_store(spark, _tree(spark, sf_dir), sizes=True), "listing")).select("prefix", "full_hash", "suffix", "size")
+    return _listed(spark, _tree(spark, sf_dir)).select("prefix", "full_hash", "suffix", (F.col("size") > 0).alias("sized"))
+
+
+def delete_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog files that an older root doesn't reach, deleted from the same tree: outcomes by suffix, the bytes freed
+    against those that the listing said, and how many files are left."""
+    folder = _tree(spark, sf_dir)
+    s = store(spark, sf_dir)
+    old = closure.closure(two_roots(spark, sf_dir, s), _root(spark, ROOT))
+    objects = _listed(spark, folder)
+    doomed = sweep.candidates(objects, references.reachable(references.catalog_refs(old)))
+    outcomes = table_of(sweep.delete(doomed, dry_run=False), "outcomes")
+    left = _listed(spark, folder).agg(F.count("*")).scalar()
+    sizes = outcomes.join(objects.select("full_hash", "size"), "full_hash")
+    return sizes.groupBy("outcome", "suffix").agg(F.count("*").alias("n"), (F.sum("bytes") == F.sum("size")).alias("as_listed")).withColumn("files_left", left)
 
 
 QUERIES = {
@@ -221,7 +245,7 @@ QUERIES = {
     for f in (
         extract_content_hashes, chunk_hash_join, nested_catalog_edges, catalog_closure, catalog_closure_recursive, reference_multiset, reachable_distinct, reachable_by_suffix,
         object_paths, suffix_of_names, prefix_histogram, gc_candidates, gc_retained, missing_objects, delta_closure, delta_protected, delta_survivors, deleted_by_suffix,
-        gc_summary, human_sizes, manifest_fields, manifest_refs, content_dedup, flag_suffixes, chunked_external_sort, catalog_parse_sqlite, inventory_listing,
+        gc_summary, human_sizes, manifest_fields, manifest_refs, content_dedup, flag_suffixes, chunked_external_sort, catalog_parse_sqlite, inventory_listing, delete_outcomes,
     )
 }
 
@@ -284,7 +308,7 @@ ORACLES = {
         "reachable_by_suffix": "SELECT CASE WHEN ascii(right(full_hash, 1)) BETWEEN 65 AND 90 THEN right(full_hash, 1) ELSE '' END AS suffix, count(*) AS n FROM reach GROUP BY 1",
         "object_paths": "SELECT DISTINCT h || suffix AS full_hash, substr(h, 1, 2) || '/' || substr(h, 3) || suffix AS path FROM refs",
         "suffix_of_names": "SELECT substr(full_hash, 1, 2) AS prefix, substr(full_hash, 3) AS name, suffix FROM objects",
-        "prefix_histogram": "SELECT hexes.prefix, count(c.full_hash) AS n FROM hexes LEFT JOIN (SELECT * FROM cand WHERE suffix = 'X') c ON substr(c.full_hash, 1, 2) = hexes.prefix GROUP BY hexes.prefix",
+        "prefix_histogram": "SELECT hexes.prefix, count(o.full_hash) AS n FROM hexes LEFT JOIN objects o ON substr(o.full_hash, 1, 2) = hexes.prefix GROUP BY hexes.prefix",
         "gc_candidates": "SELECT full_hash, size FROM cand",
         "gc_retained": "SELECT full_hash, size FROM objects WHERE EXISTS (SELECT 1 FROM reach r WHERE r.full_hash = objects.full_hash)",
         "missing_objects": "SELECT full_hash FROM reach WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.full_hash = reach.full_hash)",
@@ -299,5 +323,8 @@ ORACLES = {
         "content_dedup": "SELECT sha1(coalesce(text, '')) AS hex, count(*) AS copies FROM documents GROUP BY 1",
         "flag_suffixes": "SELECT flags, CASE WHEN (flags & 1) <> 0 AND (flags & 4) = 0 THEN 'L' ELSE '' END AS suffix, count(*) AS n FROM entries GROUP BY 1, 2",
         "chunked_external_sort": "SELECT full_hash FROM reach",
+        "catalog_parse_sqlite": "SELECT h AS hex, suffix FROM refs",
+        "inventory_listing": "SELECT substr(hex, 1, 2) AS prefix, hex || 'C' AS full_hash, 'C' AS suffix, true AS sized FROM (SELECT DISTINCT hex FROM walk)",
+        "delete_outcomes": "SELECT 'deleted' AS outcome, 'C' AS suffix, count(*) AS n, true AS as_listed, (SELECT count(*) FROM old_c) AS files_left FROM walk WHERE hex NOT IN (SELECT hex FROM old_c)",
     }.items()
 }

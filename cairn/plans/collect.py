@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import closure, references, report, sweep
 from cairn.operators.locks import RepositoryLocks
+from cairn.scratch import table_of
 from cairn.sources import catalogs, inventory, manifest
 
 
@@ -58,7 +59,7 @@ def _mark(spark: SparkSession, settings: Settings, seen: DataFrame | None) -> tu
     walk = closure.walk_files(spark, settings.data_dir, root, seen, settings.on_error)
     every = references.reference_multiset(walk.catalogs, catalogs.entries(walk.rows), catalogs.chunks(walk.rows)).select("hex", "suffix")
     keys = references.reachable(every if extra is None else every.unionByName(extra))
-    return closure.table_of(keys, "reachable"), walk.catalogs.select("hex")
+    return table_of(keys, "reachable"), walk.catalogs.select("hex")
 
 
 def collect(spark: SparkSession, settings: Settings) -> Result:
@@ -74,18 +75,18 @@ def collect(spark: SparkSession, settings: Settings) -> Result:
     reachable, visited = _mark(spark, settings, None)
     if settings.delete and reachable.isEmpty():
         raise RuntimeError("nothing is reachable; refusing to delete everything")
-    listing = closure.table_of(inventory.list_store(spark, settings.data_dir), "listing")
+    listing = table_of(inventory.list_store(spark, settings.data_dir), "listing")
     objects = inventory.objects(listing, settings.data_dir)
-    found = closure.table_of(sweep.candidates(objects, reachable), "candidates")
+    found = table_of(sweep.candidates(objects, reachable), "candidates")
     any_found = not found.isEmpty()
     locks = RepositoryLocks(settings.spool_dir) if settings.delete and settings.use_locks and any_found else nullcontext()
     with locks:
         delta = _mark(spark, settings, visited)[0] if any_found else spark.createDataFrame([], "full_hash string")
-        doomed = closure.table_of(sweep.subtract(found, delta), "doomed")
+        doomed = table_of(sweep.subtract(found, delta), "doomed")
         guarded = sweep.protected(found, delta)
         if settings.output:
             sweep.write_list(doomed, settings.output)
-        outcomes = closure.table_of(sweep.delete(doomed, dry_run=not settings.delete), "outcomes")
+        outcomes = table_of(sweep.delete(doomed, dry_run=not settings.delete), "outcomes")
     checked = objects.count()
     status = {r["status"]: r["prefixes"] for r in inventory.prefix_status(listing).collect()}
     totals = report.deletion_totals(outcomes).first().asDict() | {"checked": checked, "candidates": found.count(), "protected": guarded.count(), "reachable": reachable.count(), "unreadable_prefixes": status.get("error", 0)}

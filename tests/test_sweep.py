@@ -61,7 +61,7 @@ def test_listing(spark, tmp_path):
     os.symlink("/nowhere", f"{tree.data}/aa/link")
     with open(f"{tree.data}/0b", "w"):  # not a directory: can't be listed
         pass
-    listing = closure.table_of(inventory.list_store(spark, tree.data, sizes=True), "listing")
+    listing = table_of(inventory.list_store(spark, tree.data, sizes=True), "listing")
     found = inventory.objects(listing, tree.data)
     assert names(found) == ["aa.hiddenP", "aa1111", "aalink", "ffzzzz"]
     assert {r["status"]: r["prefixes"] for r in inventory.prefix_status(listing).collect()} == {"listed": 2, "error": 1, "missing": 253}
@@ -72,9 +72,9 @@ def test_deletion(spark, tmp_path):
     tree = Tree(tmp_path)
     rows = [(n, s, tree.put(n)) for n, s in (("aa1", ""), ("bb2C", "C"), ("cc3P", "P"))] + [("dd4", "", f"{tree.data}/dd/gone")]
     doomed = spark.createDataFrame(rows, "full_hash string, suffix string, file_path string")
-    dry = closure.table_of(sweep.delete(doomed), "dry")
+    dry = table_of(sweep.delete(doomed), "dry")
     assert os.path.exists(rows[0][2]) and report.deletion_totals(dry).first().asDict() == {"attempted": 4, "dry_run": 4, "deleted": 0, "gone": 0, "errors": 0, "freed_bytes": 0}
-    done = closure.table_of(sweep.delete(doomed, dry_run=False), "done")
+    done = table_of(sweep.delete(doomed, dry_run=False), "done")
     assert not os.path.exists(rows[0][2]) and report.deletion_totals(done).first().asDict() == {"attempted": 4, "dry_run": 0, "deleted": 3, "gone": 1, "errors": 0, "freed_bytes": 21}
     assert {r["suffix"]: r["n"] for r in report.attempts_by_suffix(done).collect()} == {"": 2, "C": 1, "P": 1}
 

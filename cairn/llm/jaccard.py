@@ -361,11 +361,15 @@ def _reach(back: pa.Table, placed: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=empty.schema) for columns in (asking, finding)])
 
 
-def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame, tables: Tables) -> DataFrame:
-    """Links (a, b) between members of different groups that aren't in one component of `known` (id, component)."""
+def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame, near: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) between members of different groups that aren't in one component of `known` (id, component).
+
+    A set first asks whole components, then opens one group of each that it may link with, that of the set on which most
+    links of `near` (a, b) were contracted, and the component's other groups only where that gave no link.
+    """
     of = members(groups)
     buckets = max(16, int((of.agg(F.sum("n")).first()[0] or 0) / BUCKET))
-    placed = of.join(known, "id", "left").select("group", F.col("place").cast("long").alias("place"), "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = tables.write(of.join(known, "id", "left").select("group", F.col("place").cast("long").alias("place"), "id", "n", F.coalesce("component", "id").alias("component")), "placed")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,12 +390,26 @@ def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame, tables: Ta
     asks = probes.where("id is not null").select("token", "own", "id", F.col("component").alias("mine"), "n", "place")
     has = probes.where("id is null").select("token", F.col("own").alias("group"), "component", "least", "top", "room")
     # y of m tokens, of x's size at most, has place j of the token: both 9 * (n - place) and 9 * (m - j) reach 4 * (n + m)
-    may = "least <= n and 5 * top >= 4 * n and 4 * (n + least) <= 9 * (n - place) and 4 * n <= room"
-    met = asks.join(has, "token").where(f"group <> own and component <> mine and {may}").select("id", "group").distinct()
-    pairs = tables.write(met, "pairs")
-    load = tables.write(pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "load")
+    may = "component <> mine and least <= n and 5 * top >= 4 * n and 4 * (n + least) <= 9 * (n - place) and 4 * n <= room"
+    whole = has.groupBy("token", "component").agg(F.min("least").alias("least"), F.max("top").alias("top"), F.max("room").alias("room"))
+    met = tables.write(asks.join(whole, "token").where(may).select("id", "component").distinct(), "met")
+    best = near.groupBy("b").agg(F.count("*").alias("links")).withColumnRenamed("b", "id")
+    rank = F.struct(F.coalesce("links", F.lit(0)), "group")
+    homes = tables.write(placed.join(best, "id", "left").groupBy("component").agg(F.max(rank).getField("group").alias("group")), "homes")
+    at_home = tables.write(met.join(homes, "component").select("id", "group").distinct(), "at-home")
+    links = tables.write(_opened(sets, groups, at_home, tables, "home"), "home-links")
+    done = links.join(placed.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component").distinct()
+    rest = tables.write(met.join(done, ["id", "component"], "left_anti"), "rest")
+    again = asks.join(rest.select("id").distinct(), "id", "left_semi").join(has, "token").where(f"group <> own and {may}").join(rest, ["id", "component"], "left_semi")
+    elsewhere = tables.write(again.select("id", "group").distinct().join(at_home, ["id", "group"], "left_anti"), "elsewhere")
+    return links.unionByName(_opened(sets, groups, elsewhere, tables, "elsewhere"))
+
+
+def _opened(sets: DataFrame, groups: DataFrame, pairs: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """Links (a, b) of the sets and groups of pairs (id, group)."""
+    load = tables.write(pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), f"{name}-load")
     asking = pairs.join(load, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "group", "part")
-    own = tables.write(asking.select("id").distinct(), "asking")
+    own = tables.write(asking.select("id").distinct(), f"{name}-asking")
     asked = asking.join(sets.select("id", "n", "tokens").join(within(own, own.count(), BROADCAST_KEYS), "id", "left_semi"), "id").select("group", "part", "id", "n", "tokens")
     opened = groups.join(within(load, load.count(), BROADCAST_KEYS), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "part", "ids", "ns", F.col("tokens").alias("packed"))
 
@@ -436,7 +454,7 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFra
     second = tables.write(members(group(sets.join(within(roots, roots.count(), BROADCAST_KEYS), "id", "left_semi"), "key2")).select("id", "root"), "second")
     near = first.unionByName(second).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     reached = tables.write(connected(near), "near")
-    more = tables.write(query_links(sets, groups, reached, tables), "more")
+    more = tables.write(query_links(sets, groups, reached, near, tables), "more")
     tables.drop("probes", "groups", "sets")
     reached = tables.write(connected(near.unionByName(more).unionByName(_of_one_key(known, classes))), "reached")
     named = classes.join(reached, F.col("least") == F.col("id"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "least").alias("component"))

@@ -130,7 +130,8 @@ def rgb(argb):
 def check(coder, argb):
     data = coder.file()
     assert (webp.Image(data).rgb() == rgb(argb)).all()
-    assert (webp.decode([data, webp.encode(rgb(argb))])[0] == rgb(argb)).all()
+    many = webp.decode([data] * (webp.FEW + 3) + [webp.encode(rgb(argb))])  # side by side
+    assert all((x == rgb(argb)).all() for x in many)
 
 
 @pytest.mark.parametrize(("cache", "copies"), [*itertools.product([0, 1, 6], [False, True])])
@@ -285,3 +286,57 @@ def test_images_wider_than_a_row():
     payload = bytes(DRAW.randrange(256) for _ in range(192)) * 16_500
     pixels = webp.pixels_of(payload)
     assert pixels.shape == (8250, 128, 3) and webp.decode([webp.encode(pixels)])[0].tobytes()[: len(payload)] == payload
+
+
+def paths(files):
+    """How many of the files use each path of the decoder."""
+    found = {}
+    for data in files:
+        image = webp.Image(data)
+        undone = "".join(str(u.__code__.co_names) + u.__name__ for u in image.undo)
+        stream = image.stream
+        assert stream.common()
+        used = {
+            "palette": "undo_palette" in undone, "predictor": "undo_predictor" in undone, "green": "undo_subtract_green" in undone,
+            "references": any(g[0].symbols.max() >= 256 and (g[0].symbols[g[0].symbols < 280] >= 256).any() for g in stream.groups),
+            "cache": stream.cache > 0, "groups": stream.meta is not None,
+        }
+        for name, yes in used.items():
+            found[name] = found.get(name, 0) + yes
+    return found
+
+
+def test_the_encoder_takes_what_pays():
+    draw = np.random.default_rng(1)
+    noise = draw.integers(0, 256, (40, 64, 3)).astype(np.uint8)
+    slope = (np.arange(64)[None, :, None] * 2 + np.arange(90)[:, None, None] * 3 + draw.integers(0, 4, (90, 64, 3))).astype(np.uint8)
+    falling = np.cumsum(draw.integers(0, 3, (90, 64, 3)), 0).astype(np.uint8)
+    grey = noise.copy()
+    grey[..., 0] = grey[..., 2] = grey[..., 1] + 1
+    few = draw.choice(np.array([[1, 2, 3], [200, 100, 7], [9, 9, 9], [0, 255, 0], [5, 6, 7]], np.uint8), (30, 64))
+    lines = np.tile(noise[:7], (9, 1, 1))
+    words = draw.integers(97, 123, (900, 3)).astype(np.uint8)[draw.zipf(1.3, (150, 64)) % 900]
+    halves = np.concatenate([draw.integers(48, 58, (192, 64, 3)), draw.integers(97, 123, (192, 64, 3))]).astype(np.uint8)
+    images = [noise, slope, falling, grey, few, lines, words, halves, np.zeros((1, 64, 3), np.uint8), np.full((3, 64, 3), 32, np.uint8)] * 3
+    files = webp.encode_all(images)
+    assert all((x == y).all() for x, y in zip(webp.decode(files), images, strict=True))
+    assert all((webp.Image(x).rgb() == y).all() for x, y in zip(files, images, strict=True))
+    assert all(n >= 3 for n in paths(files).values()), paths(files)
+    assert files[:10] == [webp.encode(x) for x in images[:10]]
+
+
+def test_random_images_come_back():
+    draw = np.random.default_rng(2)
+    images = []
+    for _ in range(120):
+        size = int(draw.integers(1, 40)), int(draw.choice([1, 3, 64, 128]))
+        colours = draw.integers(0, 256, (int(draw.choice([1, 2, 3, 5, 17, 300])), 3)).astype(np.uint8)
+        images.append(colours[draw.integers(0, len(colours), size)])
+    assert all((x == y).all() for x, y in zip(webp.decode(webp.encode_all(images)), images, strict=True))
+
+
+def test_stored_images_of_the_query_use_the_paths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stored = webp.store(docs).collect()
+    used = paths([bytes(r["media"]) for r in stored])
+    assert used["references"] > 0.5 * len(stored) and used["cache"] > 0.1 * len(stored) and used["palette"] > 0, used

@@ -324,15 +324,15 @@ def members(groups: DataFrame) -> DataFrame:
     return one.select("group", "place", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.roots").alias("root"))
 
 
-_PROBES = "token long, own long, id long, component long, n long, place long, least long, top long, room long"
+_PROBES = "token long, own long, id long, component long, n long, place long, size long, room long"
 
 
 def _reach(back: pa.Table, placed: pa.Table) -> pa.Table:
     """_PROBES of a group. back: packed tokens, groups and rows, of what other groups have too; placed: place, id, n, component.
 
     A set of n tokens, in order the rarest first, has its i-th token looked up if i <= n // 5 and may be found by it if
-    i <= n // 9. Rows to be found by (id null) say of a component's sets that have the token: the least and the greatest
-    size, and the most of 9 * (n - i) - 4 * n.
+    i <= n // 9. Rows to be found by (id null) are one for each component and size of its sets that have the token, with
+    the most of 9 * (n - i) - 4 * n.
     """
     empty = pa.schema([(name, pa.int64()) for name in (x.split()[0] for x in _PROBES.split(", "))]).empty_table()
     if not back.num_rows or not placed.num_rows:
@@ -348,16 +348,16 @@ def _reach(back: pa.Table, placed: pa.Table) -> pa.Table:
     n = sizes[row]
     asks = place <= n // 5
     found = np.flatnonzero(place <= n // 9)
-    found = found[np.lexsort((component[row[found]], token[found]))]
+    found = found[np.lexsort((n[found], component[row[found]], token[found]))]
     t, c, m, room = token[found], component[row[found]], n[found], (9 * (n - place) - 4 * n)[found]
-    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])) if len(t) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (m[1:] != m[:-1])])) if len(t) else np.zeros(0, np.int64)
     own = placed.column("group")[0].as_py()
     same = lambda k: pa.array(np.full(k, own))
     null = lambda k: pa.nulls(k, pa.int64())
     a, b = int(asks.sum()), len(first)
     over = lambda f, x: pa.array(f.reduceat(x, first)) if b else null(0)
-    asking = [token[asks], same(a), ids[row[asks]], component[row[asks]], n[asks], place[asks], null(a), null(a), null(a)]
-    finding = [t[first], same(b), null(b), c[first], null(b), null(b), over(np.minimum, m), over(np.maximum, m), over(np.maximum, room)]
+    asking = [token[asks], same(a), ids[row[asks]], component[row[asks]], n[asks], place[asks], null(a), null(a)]
+    finding = [t[first], same(b), null(b), c[first], null(b), null(b), m[first], over(np.maximum, room)]
     return pa.concat_tables([pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=empty.schema) for columns in (asking, finding)])
 
 
@@ -388,10 +388,10 @@ def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame, near: Data
     back = groups.select("group", "tokens").mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, "group long, tokens binary, rows binary, groups binary")
     probes = tables.write(back.groupBy("group").cogroup(placed.groupBy("group")).applyInArrow(_reach, _PROBES), "probes")
     asks = probes.where("id is not null").select("token", "own", "id", F.col("component").alias("mine"), "n", "place")
-    has = probes.where("id is null").select("token", F.col("own").alias("group"), "component", "least", "top", "room")
+    has = probes.where("id is null").select("token", F.col("own").alias("group"), "component", "size", "room")
     # y of m tokens, of x's size at most, has place j of the token: both 9 * (n - place) and 9 * (m - j) reach 4 * (n + m)
-    may = "component <> mine and least <= n and 5 * top >= 4 * n and 4 * (n + least) <= 9 * (n - place) and 4 * n <= room"
-    whole = has.groupBy("token", "component").agg(F.min("least").alias("least"), F.max("top").alias("top"), F.max("room").alias("room"))
+    may = "component <> mine and size <= n and 5 * size >= 4 * n and 4 * (n + size) <= 9 * (n - place) and 4 * n <= room"
+    whole = has.groupBy("token", "component", "size").agg(F.max("room").alias("room"))
     met = tables.write(asks.join(whole, "token").where(may).select("id", "component").distinct(), "met")
     best = near.groupBy("b").agg(F.count("*").alias("links")).withColumnRenamed("b", "id")
     rank = F.struct(F.coalesce("links", F.lit(0)), "group")

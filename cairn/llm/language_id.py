@@ -9,7 +9,9 @@ Training counts n-grams over all training rows in one pass and measures the bits
 only (language, column) sums are shuffled, and the driver gets languages x columns numbers whatever the input's size.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, and so is everything if nothing could be
-learned; repeated rows are kept; other columns of the input are ignored, so clashing names do no harm; texts are used whole.
+learned; repeated rows are kept; other columns of the input than those in
+`keep` are ignored, and kept ones with an output's name are replaced; more than MOST_LANGUAGES languages are an error;
+texts are used whole.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from cairn.llm.textkernel import ngram_counts, slices
 BITS, ORDERS = 12, (2, 3)
 #: n-grams of a text that count as independent evidence at most.
 EVIDENCE = 64
+#: Languages at most: the driver holds a row of columns for each.
+MOST_LANGUAGES = 256
 #: A runner-up with at least this share of the winner's score makes a text ambiguous.
 NEAR = 0.5
 UNKNOWN = "und"
@@ -86,6 +90,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Languag
         for name, counts in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * width), pa.array(np.arange(width, dtype=np.int32)), pa.array(counts)], ["lang", "at", "n"])
 
+    if (n := rows.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages; at most {MOST_LANGUAGES} can be learned")
     sums = rows.mapInArrow(count, "lang string, at int, n double").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in sums})
     if not languages:
@@ -135,4 +141,4 @@ def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
 
     kept = ", ".join(f"_keep{i} {rows.schema[i].dataType.simpleString()}" for i in range(n))
     out = rows.mapInArrow(run, f"{kept}, lang_pred string, score double, ambiguous boolean")
-    return out.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "ambiguous")
+    return out.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep) if c not in ("lang_pred", "score", "ambiguous")], "lang_pred", "score", "ambiguous")

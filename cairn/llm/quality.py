@@ -8,8 +8,8 @@ The model is fitted on a sample of rated rows, about `per_grade` of each grade (
 of the key. Ratings are narrow and the sample of them is bounded, so it is broadcast; features of the sample are made
 in tasks and the fit runs on the driver. Scoring is one pass without a shuffle.
 
-Edge cases: null and empty texts score as the text without n-grams; rows with a null rating or key don't train;
-repeated rows are kept; with fewer than two grades every text gets the one grade there is (tail probability 1, so all
+Edge cases: null and empty texts score as the text without n-grams; rows with a null or NaN rating or a null key don't train;
+more than MOST_GRADES grades are an error; repeated rows are kept, and one of them trains; with fewer than two grades every text gets the one grade there is (tail probability 1, so all
 are kept); all columns of the input are kept and those with the outputs' names replaced; texts are used whole.
 """
 
@@ -31,6 +31,8 @@ BITS, ORDERS = 12, (1, 2, 3)
 #: Rated rows of each grade that train the model, about.
 PER_GRADE = 1500
 PRIOR = 300
+#: Different grades at most; continuous ratings are to be binned by the caller.
+MOST_GRADES = 50
 #: Texts with at least this probability of a good grade are kept: junk scores near 0, while short clean texts, which
 #: have little evidence either way, score near one half.
 KEPT_FROM = 0.2
@@ -88,12 +90,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> QualityModel:
 def train(docs: DataFrame, ratings: DataFrame, *, text: str = "text", key: str = "doc_id", grade: str = "quality", per_grade: int = PER_GRADE) -> QualityModel:
     """A model from docs joined with ratings on the key."""
     rated = ratings.select(F.col(key).alias("_key"), F.col(grade).cast("double").alias("_grade")).where("_key is not null and _grade is not null")
-    sizes = {r["_grade"]: r["n"] for r in rated.groupBy("_grade").agg(F.count("*").alias("n")).collect()}
+    rated = rated.where(~F.isnan("_grade"))
+    sizes = {r["_grade"]: r["n"] for r in rated.groupBy("_grade").agg(F.count("*").alias("n")).limit(MOST_GRADES + 1).collect()}
+    if len(sizes) > MOST_GRADES:
+        raise ValueError(f"more than {MOST_GRADES} grades; ratings must be binned")
     chosen = F.lit(False)
     for value, n in sizes.items():
         chosen = chosen | ((F.col("_grade") == value) & (F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1, per_grade / n)))))
     sample = F.broadcast(rated.where(chosen).dropDuplicates(["_key"]))
-    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(sample, F.col("_doc") == F.col("_key")).select("_grade", "_text")
+    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(sample, F.col("_doc") == F.col("_key"))
+    # of rows with one key the one of the least hash trains, so the sample is bounded whatever repeats
+    rows = rows.groupBy("_doc").agg(F.first("_grade").alias("_grade"), F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_grade", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -52,7 +52,8 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
-    model = language_id.train(docs.where("not held_out"))
+    # a row without a doc_id is in no fold, so it isn't learned from
+    model = language_id.train(docs.where("not held_out and doc_id is not null"))
     return language_id.predict(docs, model, keep=("doc_id", "held_out"))
 
 
@@ -129,7 +130,7 @@ def op9_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
-    model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs.where("not held_out and doc_id is not null"), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, keep=("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 

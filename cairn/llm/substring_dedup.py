@@ -181,17 +181,18 @@ def _cut_words(text: str, places: list[int], span: int) -> tuple[str, int]:
 def _without_repeats(docs: DataFrame, find: Callable, cut: Callable[[str, list[int]], tuple[str, int]], text: str, key: str) -> DataFrame:
     """docs with its text cut at what `find` hashes and an earlier place has; the sentences cut are added to n_removed."""
     content = F.xxhash64(F.col(text))
+    of_key, of_content, found_at = (f"{'_' * (1 + max(map(len, docs.columns)))}{name}" for name in ("key", "content", "places"))  # longer than any name of docs
     all_runs = _hashed(docs.select(F.col(key).alias("key"), content.alias("content"), F.col(text).alias("text")), find)
     firsts = all_runs.where("not again").groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("key").alias("keys"), F.count("*").alias("n"))
     repeated = written(firsts.where("first <> last or (keys between 1 and n - 1)").select(F.col("run").alias("of"), "first"), "repeated")
     others = all_runs.join(repeated, F.col("run") == F.col("of"), "left").where("again or (of is not null and not (key <=> first))")
-    places = others.groupBy("key", "content").agg(F.collect_set("at").alias("_places")).withColumnsRenamed({"key": "_key", "content": "_content"})
+    places = others.groupBy("key", "content").agg(F.collect_set("at").alias(found_at)).withColumnsRenamed({"key": of_key, "content": of_content})
     places = written(places, "places")
-    marked = docs.join(places, F.col(key).eqNullSafe(F.col("_key")) & (content == F.col("_content")), "left").drop("_key", "_content")
+    marked = docs.join(places, F.col(key).eqNullSafe(F.col(of_key)) & (content == F.col(of_content)), "left").drop(of_key, of_content)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, texts, removed = batch.column("_places").to_pylist(), batch.column(text), batch.column("n_removed").to_pylist()
+            found, texts, removed = batch.column(found_at).to_pylist(), batch.column(text), batch.column("n_removed").to_pylist()
             if any(found):
                 new = texts.to_pylist()
                 for i, at in enumerate(found):
@@ -199,7 +200,7 @@ def _without_repeats(docs: DataFrame, find: Callable, cut: Callable[[str, list[i
                         new[i], n = cut(new[i], at)
                         removed[i] += n
                 texts = pa.array(new, pa.string())
-            names = [c for c in batch.schema.names if c != "_places"]
+            names = [c for c in batch.schema.names if c != found_at]
             rest = pa.RecordBatch.from_arrays([texts if c == text else batch.column(c) for c in names], names)
             yield with_column(rest, "n_removed", pa.array(removed, pa.int64()))
 

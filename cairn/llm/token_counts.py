@@ -9,8 +9,8 @@ unique pair and so never hot. With a warm cache the misses are few and Spark bro
 text meet only as narrow rows of a plain join that adaptive execution can split.
 
 Edge cases: null and empty texts count 0 tokens; repeated rows and null keys are kept, one output row for each input
-row; an empty table gives an empty result; columns of the input not named in `keep` are ignored, so clashing names do
-no harm; texts of any length are encoded whole.
+row; an empty table gives an empty result; columns of the input not named in `keep` are ignored, and kept ones with
+an output's name are replaced; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -138,6 +138,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "te
     rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], utf8_bytes(text).alias("_bytes"), digest.alias("_digest"))
     known = cached(spark, cache).where(F.col("tokenizer") == version).select("digest", F.lit(True).alias("known"))
     one = docs.select(digest.alias("digest"), F.col(key).alias("_key")).groupBy("digest").agg(F.min("_key").alias("one"))
+    one = written(one, "digests")
     missing = one.join(known, "digest", "left").where("known is null").select(F.col("digest").alias("_want"), "one")
     bodies = docs.select(digest.alias("digest"), F.col(key).alias("_key"), body.alias("body"))
     misses = bodies.join(missing, (F.col("digest") == F.col("_want")) & F.col("_key").eqNullSafe(F.col("one"))).select("digest", "body")
@@ -149,10 +150,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "te
 
     fresh = misses.mapInArrow(encode, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    # Two runs may have appended the same digest, so counts are made unique before the join, in a table of their own.
-    counts = written(cached(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    # Of the cache this run's digests go on. Two runs may have appended the same one, so counts are made unique.
+    stored = cached(spark, cache).where(F.col("tokenizer") == version).join(one, "digest", "left_semi")
+    counts = written(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(counts, F.col("_digest") == F.col("digest"), "left").select(
-        *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], F.col("_bytes").alias("n_bytes"), F.col("_digest").alias("content_digest"), "n_tokens"
+        *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep) if c not in ("n_bytes", "content_digest", "n_tokens")], F.col("_bytes").alias("n_bytes"), F.col("_digest").alias("content_digest"), "n_tokens"
     )
 
 

@@ -9,8 +9,8 @@ sample of labels is bounded and broadcast, sentences are cut and hashed in tasks
 is one pass without a shuffle.
 
 Edge cases: null and empty texts have no sentences and score 0; rows with a null label or key don't train; with fewer
-than two labels every text scores 0; repeated rows are kept; other columns are ignored, so clashing names do no harm;
-texts are used whole.
+than two labels every text scores 0; repeated rows are kept, and one of them trains; other columns than those in `keep`
+are ignored, and kept ones with an output's name are replaced; texts are used whole.
 """
 
 from __future__ import annotations
@@ -122,7 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     for value, n in sizes.items():
         chosen = chosen | ((F.col("_y") == value) & (F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1, per_label / n)))))
     sample = F.broadcast(known.where(chosen).dropDuplicates(["_key"]))
-    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(sample, F.col("_doc") == F.col("_key")).select("_doc", "_y", "_text")
+    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(sample, F.col("_doc") == F.col("_key"))
+    # of rows with one key the one of the least hash trains, so the sample is bounded whatever repeats
+    rows = rows.groupBy("_doc").agg(F.first("_y").alias("_y"), F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,4 +166,4 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", keep: tu
 
     kept = ", ".join(f"_keep{i} {rows.schema[i].dataType.simpleString()}" for i in range(n))
     out = rows.mapInArrow(run, f"{kept}, score double, offending array<struct<begin: bigint, end: bigint, probability: double>>")
-    return out.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "score", "offending")
+    return out.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep) if c not in ("score", "offending")], "score", "offending")

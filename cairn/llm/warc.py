@@ -10,12 +10,15 @@ share is stored by one small task; reading back joins plain rows, which adaptive
 
 Edge cases: a null body is the empty payload; a null URL is an empty one and control characters in a URL are dropped;
 rows of equal id and payload are equal records (all responses, if theirs is the largest id); null ids are below all
-others; an empty table gives an empty archive; other columns are ignored, so clashing names do no harm.
+others; an empty table gives an empty archive; other columns are ignored, so clashing names do no harm. Stored bytes
+without their digest, a header that declares another one, and a WARC file that is cut short are errors.
 """
 
 from __future__ import annotations
 
 import gzip
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,12 +76,14 @@ def read_records(spark: SparkSession, folder: str, *, payload: bool = True) -> D
         bodies = bodies.drop("payload")
     text = F.col("header").cast("string")
     field = lambda name, pattern: F.regexp_extract(text, rf"\r\n{name}: {pattern}\r\n", 1)
+    declared = field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)")
+    sound = F.when(declared == F.col("payload_sha1"), F.col("payload_sha1")).otherwise(F.raise_error(F.concat(F.lit("a record declares another digest: "), "record_id")))
     return records.join(bodies, F.col("digest") == F.col("of")).select(
         "record_id",
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         F.nullif(field("WARC-Refers-To", "<urn:page:([^>]*)>"), F.lit("")).alias("refers_to"),
-        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("declared_digest"),
-        "header", "payload_bytes", "payload_sha1", *(["payload"] if payload else []),
+        declared.alias("declared_digest"),
+        "header", "payload_bytes", sound.alias("payload_sha1"), *(["payload"] if payload else []),
     )
 
 
@@ -90,16 +95,20 @@ def records_as_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_file(content: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(header, block) of each record of a WARC file, gzip or plain."""
+    """(header, block) of each record of a WARC file, gzip or plain. A record that is cut short or has no length is a ValueError."""
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        try:
+            content = gzip.decompress(content)
+        except (EOFError, OSError, zlib.error) as error:
+            raise ValueError(f"a WARC file can't be unpacked: {error}") from error
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at) + 4
-        header = content[at:end]
-        length = next(int(line.split(b":", 1)[1]) for line in header.split(b"\r\n") if line.lower().startswith(b"content-length:"))
-        yield header, content[end : end + length]
-        at = end + length + 4
+        end = content.find(b"\r\n\r\n", at) + 4
+        length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", content[at:end]) if end > 3 else None
+        if length is None or end + int(length[1]) > len(content):
+            raise ValueError(f"the WARC record at byte {at} is cut short or has no length")
+        yield content[at:end], content[end : end + int(length[1])]
+        at = end + int(length[1]) + 4
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -108,7 +117,7 @@ def read_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                pairs = list(split_file(content or b""))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary())], ["header", "block"])
+                for pair in split_file(content or b""):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in pair], ["header", "block"])
 
     return files.select("content").mapInArrow(run, "header binary, block binary")

@@ -60,3 +60,11 @@ def test_empty_and_repeated(spark):
     assert warc.read_records(spark, archive(spark, [])).count() == 0
     twice = warc.read_records(spark, archive(spark, [(1, "u", "b", ""), (1, "u", "b", ""), (None, "u", "b", "")])).collect()
     assert sorted((r["record_id"] or "", r["record_type"], r["refers_to"]) for r in twice) == [("", "revisit", "1"), ("1", "response", None), ("1", "response", None)]
+
+
+def test_damaged_files_are_errors():
+    whole = b"WARC/1.1\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    assert list(warc.split_file(whole * 2)) == [(whole[:31], b"body")] * 2 and list(warc.split_file(b"")) == []
+    for bad in (whole[:20], whole[:33], b"WARC/1.1\r\nA: b\r\n\r\n", gzip.compress(whole)[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.split_file(bad))

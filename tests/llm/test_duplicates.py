@@ -51,7 +51,7 @@ def test_substring_dedup_equals_brute_force(spark, docs_of):
             parts *= 2
         texts.append(draw.choice([" ", "\n"]).join(parts))
     texts += [None, "", " \n. !", texts[3], texts[3].upper(), "É" + texts[5], sentence(draw) * 3000]
-    docs = docs_of(texts).withColumn("n_removed", F.lit("clash"))
+    docs = docs_of(texts).withColumns({"n_removed": F.lit("clash"), "_key": F.lit(1), "_content": F.lit(2), "_places": F.lit(3)})
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring_dedup.dedup_spans(docs).collect()}
     assert got == brute_cut(list(enumerate(texts)))
     assert sum(n for _, n in got.values()) > 50

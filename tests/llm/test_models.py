@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import language_id, quality, toxicity
@@ -76,3 +77,16 @@ def test_toxic_sentences_are_found(spark):
     assert toxicity.score(odd.limit(0), model).count() == 0
     one_label = toxicity.train(docs, labels.where("toxic = 0"))
     assert toxicity.score(docs, one_label).agg(F.max("score")).first()[0] < 1e-6
+
+
+def test_bounds_and_clashing_names(spark, docs_of):
+    docs = docs_of(["ab cd", "ab cd", None, "xy"], ids=[1, 1, 2, 3]).withColumn("score", F.lit("clash"))
+    ratings = spark.createDataFrame([(1, float("nan")), (2, 0.0), (3, 1.0), (1, 1.0)], "doc_id long, quality double")
+    assert quality.score(docs, quality.train(docs, ratings)).count() == 4
+    many = spark.range(200).select(F.col("id").alias("doc_id"), F.rand(1).alias("quality"))
+    with pytest.raises(ValueError):
+        quality.train(docs, many)
+    with pytest.raises(ValueError):
+        language_id.train(spark.range(300).select(F.lit("a b").alias("text"), F.col("id").cast("string").alias("lang")))
+    for got in (language_id.predict(docs, language_id.train(docs), keep=("doc_id", "score")), toxicity.score(docs, toxicity.train(docs, ratings.selectExpr("doc_id", "quality as toxic")), keep=("doc_id", "score"))):
+        assert got.columns.count("score") == 1 and dict(got.dtypes)["score"] == "double" and got.count() == 4

@@ -52,7 +52,7 @@ def test_odd_tables(spark, docs_of):
     assert nothing.count() == 0
     rows = spark.createDataFrame([(None, "a b", "x"), (None, "a b", "x"), (1, None, "y")], "doc_id long, text string, n_tokens string")
     got = token_counts.count_tokens(rows, PATH, scratch(spark, "cache"), keep=("doc_id", "n_tokens"))
-    assert got.count() == 3 and got.columns == ["doc_id", "n_tokens", "n_bytes", "content_digest", "n_tokens"]
+    assert got.count() == 3 and got.columns == ["doc_id", "n_bytes", "content_digest", "n_tokens"] and sorted(r["n_tokens"] for r in got.collect()) == [0, 2, 2]
 
 
 def test_encoding_and_decoding(spark, docs_of, library):

@@ -7,6 +7,7 @@ from stores import Tree, blob, sha
 from cairn.operators import closure, report, sweep
 from cairn.operators.locks import FileLock, LockHeld, RepositoryLocks
 from cairn.plans.collect import Settings, collect
+from cairn.scratch import table_of
 from cairn.sources import inventory
 from cairn.streaming.manifests import follow
 
@@ -150,3 +151,20 @@ def test_following_manifests(spark, tmp_path):
     (arriving / "2").write_text(f"C{new}\n")
     follow(spark, str(arriving), tree.data, str(tmp_path / "state"), keep).awaitTermination()
     assert got == [(sha("root"), sorted([sha("root") + "C", sha("live")])), (new, sorted([new + "C", sha("new")]))]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from cairn.scratch import folder_of
+
+    class Session:
+        def __init__(self, master, base=None):
+            self.set, self.conf = {"spark.master": master} | ({"spark.checkpoint.dir": base} if base else {}), self
+
+        def get(self, name, default=None):
+            return self.set.get(name, default)
+
+    with pytest.raises(ValueError):
+        folder_of(Session("spark://host:7077"), "x")
+    with pytest.raises(ValueError):
+        folder_of(Session("local-cluster[3,2,3000]"), "x")
+    assert folder_of(Session("yarn", "hdfs://shared/"), "x").startswith("hdfs://shared/x-")

@@ -365,7 +365,8 @@ def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame, near: Data
     """Links (a, b) between members of different groups that aren't in one component of `known` (id, component).
 
     A set first asks whole components, then opens one group of each that it may link with, that of the set on which most
-    links of `near` (a, b) were contracted, and the component's other groups only where that gave no link.
+    links of `near` (a, b) were contracted, and the component's other groups, if it has any, only where that gave no link, by
+    the tokens by which they met.
     """
     of = members(groups)
     buckets = max(16, int((of.agg(F.sum("n")).first()[0] or 0) / BUCKET))
@@ -392,15 +393,17 @@ def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame, near: Data
     # y of m tokens, of x's size at most, has place j of the token: both 9 * (n - place) and 9 * (m - j) reach 4 * (n + m)
     may = "component <> mine and size <= n and 5 * size >= 4 * n and 4 * (n + size) <= 9 * (n - place) and 4 * n <= room"
     whole = has.groupBy("token", "component", "size").agg(F.max("room").alias("room"))
-    met = tables.write(asks.join(whole, "token").where(may).select("id", "component").distinct(), "met")
+    meetings = tables.write(asks.join(whole, "token").where(may).drop("size", "room").distinct(), "meetings")
+    met = tables.write(meetings.select("id", "component").distinct(), "met")
     best = near.groupBy("b").agg(F.count("*").alias("links")).withColumnRenamed("b", "id")
     rank = F.struct(F.coalesce("links", F.lit(0)), "group")
     homes = tables.write(placed.join(best, "id", "left").groupBy("component").agg(F.max(rank).getField("group").alias("group")), "homes")
     at_home = tables.write(met.join(homes, "component").select("id", "group").distinct(), "at-home")
     links = tables.write(_opened(sets, groups, at_home, tables, "home"), "home-links")
     done = links.join(placed.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component").distinct()
-    rest = tables.write(met.join(done, ["id", "component"], "left_anti"), "rest")
-    again = asks.join(rest.select("id").distinct(), "id", "left_semi").join(has, "token").where(f"group <> own and {may}").join(rest, ["id", "component"], "left_semi")
+    others = tables.write(has.join(homes.withColumnRenamed("group", "home"), "component").where("group <> home").drop("home"), "others")
+    rest = met.join(done, ["id", "component"], "left_anti").join(others.select("component").distinct(), "component", "left_semi")
+    again = meetings.join(rest, ["id", "component"], "left_semi").join(others, ["token", "component"]).where(f"group <> own and {may}")
     elsewhere = tables.write(again.select("id", "group").distinct().join(at_home, ["id", "group"], "left_anti"), "elsewhere")
     return links.unionByName(_opened(sets, groups, elsewhere, tables, "elsewhere"))
 

@@ -9,8 +9,10 @@ links. Equal sets are one class, whatever their number, and only one text of a c
    the set of each, and gets back how many of a set's tokens another set has too.
 2. Groups. The sets left are sorted by min-hashes and cut into groups of at most GROUP; each group's pairs are compared
    in one task. The best linked set of a group is compared with the next group too while the min-hash stays the same, so
-   a long run of near copies becomes one component. Each component is contracted to its best linked set, and those are
-   grouped again by other min-hashes.
+   a long run of near copies becomes one component. Each component is contracted to its best linked set, and that and a
+   few others are grouped again by other min-hashes: two central sets of a cluster's pieces needn't link though others
+   do. A round gathers of a large cluster all whose min-hash is the commonest there, so few pieces are left to meet in
+   the matrix.
 3. Matrix. Each group's token union has a row (token, group) for every token of two groups or more. A set orders its
    tokens by the number of groups that have them, the rarest first. If x has no fewer tokens than y and links with it,
    their first common token is so early in both that enough tokens follow (`probe`), so few rows are asked for and few
@@ -27,6 +29,7 @@ together; a null key has a null component; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,6 +45,9 @@ from cairn.llm.textkernel import SPACE, chained, mix, slices, words
 SHINGLE = 5
 #: Sets of a group, and queries of a group that one task compares.
 GROUP, QUERIES = 128, 512
+#: Rounds of grouping, each by a min-hash of its own and, where that is equal, by the next one, and how many sets of a
+#: component go on to the next round.
+ROUNDS, SPOKESMEN = 3, 4
 #: Tokens of a block and of a bucket of the filter and the matrix, about.
 BLOCK, BUCKET = 1 << 19, 500_000
 #: Bytes of tokens in a partition of groups, about.
@@ -217,18 +223,19 @@ def candidates(signed: DataFrame, tables: Tables) -> DataFrame:
 
 
 def set_table(docs: DataFrame, keys: DataFrame, *, text: str, key: str) -> DataFrame:
-    """id, n and packed tokens of the keys' texts, with two min-hash keys for grouping."""
+    """id, n and packed tokens of the keys' texts, with ROUNDS min-hashes (h0, h1, ...) for grouping."""
+    hashes = [f"h{seed}" for seed in range(ROUNDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1)))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            low = np.array([[int(mix(s * _U(2 * seed + 3) + _U(seed)).min()) if len(s) else 0 for seed in range(4)] for s in sets], _U).reshape(len(sets), 4)
-            keys = [pa.array(mix(low[:, 2 * r] + mix(low[:, 2 * r + 1])).view(np.int64)) for r in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "key1", "key2", "tokens"])
+            low = [np.array([int(mix(s * _U(2 * seed + 3) + _U(seed)).min()) if len(s) else 0 for s in sets], _U) for seed in range(ROUNDS)]
+            keys = [pa.array(mix(x).view(np.int64)) for x in low]
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", *hashes, "tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(keys, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, n long, key1 long, key2 long, tokens binary")
+    return rows.mapInArrow(run, f"id long, n long, {', '.join(f'{h} long' for h in hashes)}, tokens binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -275,9 +282,11 @@ def _components(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def group(sets: DataFrame, by: str) -> DataFrame:
-    """Groups of at most GROUP sets that are near in the order of `by`: group, ids, ns, the set that each one's component
-    within the group is contracted to (roots), and tokens, as lists. Equal rows are one set."""
+def group(sets: DataFrame, turn: int) -> DataFrame:
+    """Groups of at most GROUP sets that are near in the order of a round's min-hashes: group, ids, ns, the set that each
+    one's component within the group is contracted to (roots), whether it goes on (goes), and tokens, as lists. Equal rows
+    are one set."""
+    by, then = f"h{turn}", f"h{(turn + 1) % ROUNDS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple] = []
@@ -299,8 +308,11 @@ def group(sets: DataFrame, by: str) -> DataFrame:
             top = held[roots[last[np.argmax(degree[last])]]]
             pivot = (top[0], top[1], rows[-1][2], top[3])
             n = len(rows)
+            ranked = np.lexsort((ids, np.arange(len(held)) != roots, part))  # of each component its root first
+            goes = np.zeros(len(held), bool)
+            goes[ranked] = np.arange(len(held)) - np.searchsorted(part[ranked], part[ranked]) < SPOKESMEN
             lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids[:n], ns[:n], ids[roots[:n]])]
-            return pa.RecordBatch.from_arrays([pa.array([_name(ids[:n].tobytes() + ns[:n].tobytes())]), *lists, pa.array([[t.tobytes() for t in tokens[:n]]], pa.list_(pa.binary()))], ["group", "ids", "ns", "roots", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([_name(ids[:n].tobytes() + ns[:n].tobytes())]), *lists, pa.array([goes[:n]], pa.list_(pa.bool_())), pa.array([[t.tobytes() for t in tokens[:n]]], pa.list_(pa.binary()))], ["group", "ids", "ns", "roots", "goes", "tokens"])
 
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), map(np.copy, _tokens(batch.column(3))), strict=True):
@@ -314,14 +326,14 @@ def group(sets: DataFrame, by: str) -> DataFrame:
             yield pack(rest)
 
     count = sets.agg(F.sum("n")).first()[0] or 0
-    ordered = sets.repartitionByRange(max(1, 8 * count // PARTITION), by, "id").sortWithinPartitions(by, "id").select("id", "n", by, "tokens")
-    return ordered.mapInArrow(run, "group long, ids array<long>, ns array<long>, roots array<long>, tokens array<binary>")
+    ordered = sets.repartitionByRange(max(1, 8 * count // PARTITION), by, then, "id").sortWithinPartitions(by, then, "id").select("id", "n", by, "tokens")
+    return ordered.mapInArrow(run, "group long, ids array<long>, ns array<long>, roots array<long>, goes array<boolean>, tokens array<binary>")
 
 
 def members(groups: DataFrame) -> DataFrame:
-    """group, place in it, id, n and root."""
-    one = groups.select("group", F.posexplode(F.arrays_zip("ids", "ns", "roots")).alias("place", "m"))
-    return one.select("group", "place", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.roots").alias("root"))
+    """group, place in it, id, n, root and goes."""
+    one = groups.select("group", F.posexplode(F.arrays_zip("ids", "ns", "roots", "goes")).alias("place", "m"))
+    return one.select("group", "place", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.roots").alias("root"), F.col("m.goes").alias("goes"))
 
 
 _PROBES = "token long, own long, id long, component long, n long, place long, size long, room long"
@@ -409,12 +421,12 @@ def query_links(sets: DataFrame, groups: DataFrame, known: DataFrame, near: Data
 
 
 def _opened(sets: DataFrame, groups: DataFrame, pairs: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """Links (a, b) of the sets and groups of pairs (id, group)."""
+    """Links (a, b) of the sets and groups of pairs (id, group), one of each set to each component within a group."""
     load = tables.write(pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), f"{name}-load")
     asking = pairs.join(load, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "group", "part")
     own = tables.write(asking.select("id").distinct(), f"{name}-asking")
     asked = asking.join(sets.select("id", "n", "tokens").join(within(own, own.count(), BROADCAST_KEYS), "id", "left_semi"), "id").select("group", "part", "id", "n", "tokens")
-    opened = groups.join(within(load, load.count(), BROADCAST_KEYS), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "part", "ids", "ns", F.col("tokens").alias("packed"))
+    opened = groups.join(within(load, load.count(), BROADCAST_KEYS), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "part", "ids", "ns", "roots", F.col("tokens").alias("packed"))
 
     def compare(queries: pa.Table, held: pa.Table) -> pa.Table:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -426,6 +438,9 @@ def _opened(sets: DataFrame, groups: DataFrame, pairs: DataFrame, tables: Tables
                 bound = np.array([np.isin(t, union, assume_unique=True).sum() for t in own])
                 at = np.flatnonzero(5 * bound >= 4 * n)
                 left, right = np.nonzero(linked(overlaps([own[i] for i in at], sets), n[at], m))
+                _, root = np.unique(held.column("roots")[i].values.to_numpy(), return_inverse=True)
+                _, one = np.unique(left * len(sets) + root[right], return_index=True)
+                left, right = left[one], right[one]
                 a.append(ids[at][left])
                 b.append(others[right])
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
@@ -451,11 +466,15 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFra
     left = tables.write(candidates(signed, tables).join(classes, "digest").select(F.col("least").alias("id")).distinct(), "left")
     tables.drop("signed", "hits")
     sets = tables.write(set_table(docs, within(left, left.count(), BROADCAST_KEYS), text=text, key=key), "sets")
-    groups = tables.write(group(sets, "key1"), "groups")
-    first = tables.write(members(groups).select("id", "root"), "first")
-    roots = tables.write(first.where("id = root").select("id").distinct(), "roots")
-    second = tables.write(members(group(sets.join(within(roots, roots.count(), BROADCAST_KEYS), "id", "left_semi"), "key2")).select("id", "root"), "second")
-    near = first.unionByName(second).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    groups = tables.write(group(sets, 0), "groups")
+    found, made = [], groups
+    for turn in range(ROUNDS):
+        part = tables.write(members(made).select("id", "root", "goes"), f"round-{turn}")
+        found.append(part.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+        if turn < ROUNDS - 1:
+            on = tables.write(part.where("goes").select("id").distinct(), f"on-{turn}")
+            made = group(sets.join(within(on, on.count(), BROADCAST_KEYS), "id", "left_semi"), turn + 1)
+    near = functools.reduce(DataFrame.unionByName, found)
     reached = tables.write(connected(near), "near")
     more = tables.write(query_links(sets, groups, reached, near, tables), "more")
     tables.drop("probes", "groups", "sets")

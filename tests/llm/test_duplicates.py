@@ -226,6 +226,26 @@ def test_jaccard_join_equals_brute_force(spark, docs_of, monkeypatch, group):
     assert len({c for *_, c in got}) < len(texts) - 15
 
 
+def test_jaccard_of_a_large_cluster_over_many_partitions(spark, docs_of, monkeypatch):
+    """Pieces of a cluster whose central sets don't all link, and a passage that stands in every text."""
+    draw = random.Random(9)
+    monkeypatch.setattr(jaccard, "PARTITION", 4000)
+    monkeypatch.setattr(jaccard, "GROUP", 6)
+    say = lambda n: [f"w{draw.randrange(5000)}" for _ in range(n)]
+    passage, base, texts = say(20), say(60), []
+    for _ in range(90):
+        copy = base + passage
+        for _ in range(draw.choice([0, 1, 1, 2, 2, 3])):
+            copy[draw.randrange(len(copy))] = f"n{draw.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(say(60) + passage) for _ in range(40)]
+    draw.shuffle(texts)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(docs_of(texts)).collect())
+    assert got == brute_components(texts)
+    of = [c for *_, c in got]
+    assert max(map(of.count, of)) >= 50
+
+
 def test_jaccard_of_odd_tables(spark, docs_of):
     assert jaccard.join(docs_of([])).count() == 0
     got = jaccard.join(docs_of(["a b c d e f", "a b c d e f", "x", "", "x", "a b c d e f"], ids=[5, None, 5, 6, 9, 8]))
